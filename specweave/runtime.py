@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once a session, for Python workers."""
+    context = spark.sparkContext
+    if not any(str(f).endswith("/specweave.zip") for f in context._jsc.sc().listFiles().mkString("\n").split("\n")):
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp()) / "specweave.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+            for source in sorted(root.rglob("*.py")):
+                archive.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(target))
+    return spark
