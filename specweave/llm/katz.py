@@ -29,8 +29,8 @@ from specweave.runtime import materialize
 
 #: Counts up to this are discounted by Good-Turing's ratio.
 LARGEST_DISCOUNTED = 5
-#: Tokens for each partition of the count tables.
-PARTITION_TOKENS = 1_000_000
+#: Tokens for each partition of the count tables, and bytes of text to a batch.
+PARTITION_TOKENS, BATCH_BYTES = 1_000_000, 7 << 20
 
 _BEGIN, _END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -50,7 +50,7 @@ def _open(blob: bytes, kind) -> np.ndarray:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to token ids, the most frequent words first, so that ids press well."""
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    for k, batch in enumerate(words.slices(batches, "text")):
+    for k, batch in enumerate(words.slices(batches, "text", BATCH_BYTES)):
         ragged = words.Ragged(batch.column("text"))
         frequency = np.bincount(ragged.ids, minlength=len(ragged.words))
         order = np.argsort(-frequency, kind="stable")
