@@ -9,8 +9,8 @@ Texts with one shingle set form a class that is compared once. In a band
 bucket, members are first compared with the smallest one only, which links a
 group of copies by as many pairs as it has members; buckets whose members
 then still lie in different components are compared in blocks, across
-components only. No pair of different components that shares a bucket is
-left out.
+components only and on full sets. No such pair that shares a bucket is left
+out, and pairs are not written down: a block gives its confirmed links.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from specweave.runtime import materialize
 
 SAMPLES, BITS = 256, 1024
 BANDS, ROWS = 24, 5
-#: Members of a bucket that are compared with one another in one task.
-BLOCK = 2048
+#: Members of a bucket that are compared with one another in one task, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 _RNG = np.random.default_rng(20240229)
 _MULTIPLIERS = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -70,7 +70,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def most_odd_bits(similarity: float, sigmas: float = 6.0) -> int:
+def most_odd_bits(similarity: float, sigmas: float = 5.0) -> int:
     """The XOR count that a pair of this similarity exceeds only ``sigmas`` out.
 
     A pair that differs in m of the samples toggles 2m bits, of which an
@@ -113,45 +113,61 @@ def _sets(width: int):
 def _confirmed(least: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                common = int((q[at] == p).sum())
-                keep.append(least.denominator * common >= least.numerator * (len(p) + len(q) - common))
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _across_components(most: int, least: Fraction, best_only: bool):
-    """Pairs of a block whose components differ and whose sketches are close."""
+def _alike(p: np.ndarray, q: np.ndarray, least: Fraction) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    common = int((q[at] == p).sum())
+    return least.denominator * common >= least.numerator * (len(p) + len(q) - common)
+
+
+def _across_components(most: int, least: Fraction):
+    """Confirmed links of a block between components that it doesn't yet join.
+
+    Close sketches of different components are compared on full sets, in the
+    first band only that a pair shares, and not once a link has joined their
+    components: what comes out are fewer links than the block has members.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         doc, comp, size, side = (table.column(c).to_numpy() for c in ("doc", "comp", "n_shingles", "side"))
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(doc), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("shingles").chunks for x in c]
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        out_a, out_b = [], []
+        band, own = table.column("band")[0].as_py(), len(left) == len(doc)
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        out: list[tuple[int, int]] = []
         for lo in range(0, len(left), 64):
             rows = left[lo : lo + 64]
+            now = np.fromiter(map(find, comp.tolist()), np.int64, len(comp))
             apart = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[right][None, :, :]).sum(2, dtype=np.int32)
-            small = np.minimum(size[rows][:, None], size[right][None, :]) * least.denominator >= np.maximum(size[rows][:, None], size[right][None, :]) * least.numerator
-            r, c = np.nonzero((apart <= most) & small & (comp[rows][:, None] != comp[right][None, :]) & (doc[rows][:, None] != doc[right][None, :]))
-            if not best_only:
-                out_a.append(doc[rows[r]])
-                out_b.append(doc[right[c]])
-                continue
-            for d, i, j in zip(apart[r, c].tolist(), rows[r].tolist(), right[c].tolist(), strict=True):
-                for key in ((i, int(comp[j])), (j, int(comp[i]))):
-                    if key not in found or d < found[key][0]:
-                        found[key] = (d, i, j)
-        if best_only:
-            out_a, out_b = [[doc[i] for _, i, _ in found.values()]], [[doc[j] for *_, j in found.values()]]
-        a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            near_size = np.minimum(size[rows][:, None], size[right][None, :]) * least.denominator >= np.maximum(size[rows][:, None], size[right][None, :]) * least.numerator
+            r, c = np.nonzero((apart <= most) & near_size & (now[rows][:, None] != now[right][None, :]))
+            order = np.argsort(apart[r, c], kind="stable")
+            i, j = rows[r[order]], right[c[order]]
+            shared = bands[i] == bands[j]
+            first = bands[i, shared.argmax(1)] == band
+            keep = first & (i < j) if own else first
+            for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+                a, b = find(int(comp[x])), find(int(comp[y]))
+                if a != b and _alike(sets[x], sets[y], least):
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(doc[x]), int(doc[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -188,32 +204,34 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width
     repeated = rows.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("doc_id")
     same = rows.join(repeated, "doc_id").join(classes.select("s1", "s2", "doc"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     links = links.union(same)
-    for best_only in (True, False):
-        component = connected_components(links)
-        placed = classes.join(component, classes.doc == component.node, "left").select("doc", "n_shingles", "bands", "sketch", F.coalesce("component", "doc").alias("comp"))
-        exploded = placed.select("doc", "comp", F.explode("bands").alias("band"))
-        mixed = exploded.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        held = exploded.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    component = connected_components(links)
+    placed = materialize(classes.join(component, classes.doc == component.node, "left").select("doc", "n_shingles", "bands", "sketch", F.coalesce("component", "doc").alias("comp")), "placed")
+    exploded = placed.select("doc", "comp", "n_shingles", F.explode("bands").alias("band"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int")
+    mixed = exploded.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), blocks.alias("blocks")).where("x <> y and n > 2").select("band", "blocks")
+    held = exploded.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    held = materialize(held.select("doc", "band", "block", "blocks"), "held")
+    if not held.isEmpty():
+        sets = _full_sets(held.select("doc").distinct(), docs, width)
         dealt = held.select("doc", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.select("doc", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-        dealt = dealt.join(placed.drop("bands"), "doc")
-        more = dealt.groupBy("band", "p", "q").applyInArrow(_across_components(most, threshold, best_only), "a long, b long").distinct()
-        more = materialize(more.join(checked, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        checked = checked.union(more)
-        links = links.union(materialize(_confirm(more, docs, threshold, width), "links"))
-        component = None
-    component = component if component is not None else connected_components(links)
+        dealt = dealt.join(placed.join(sets, placed.doc == sets.doc_id).drop("doc_id"), "doc")
+        more = materialize(dealt.groupBy("band", "p", "q").applyInArrow(_across_components(most, threshold), "a long, b long"), "links")
+        component = connected_components(links.union(more))
     of_class = classes.join(component, classes.doc == component.node, "left").select("s1", "s2", F.coalesce("component", "doc").alias("component"))
     out = signed.join(of_class, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _full_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, shingles``: the sets of some documents, by a column of ids."""
+    wanted = wanted.toDF("doc_id")
+    return materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary").where(F.length("shingles") > 0), "sets")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary").where(F.length("shingles") > 0), "sets")
+    sets = _full_sets(pairs.select("a").union(pairs.select("b")).distinct(), docs, width)
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(threshold), "a long, b long")
 
