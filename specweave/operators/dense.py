@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from specweave.schema import GridSpec
 
@@ -96,6 +97,5 @@ def closed_form_maps(stacked_maps: DataFrame, spectra: np.ndarray, otf: np.ndarr
         y = np.fft.irfft2(np.moveaxis(np.linalg.solve(system, f)[..., 0], -1, 0), s=(grid.rows, grid.columns))
         return pa.table({"l": table.column("l"), "plane": pa.array(list(y.reshape(k, -1)), pa.list_(pa.float64()))})
 
-    from pyspark.sql import functions as F
-
-    return stacked_maps.groupBy(F.lit(0)).applyInArrow(lambda t: solve(t), "l int, plane array<double>")
+    whole = stacked_maps.select("l", "plane", F.lit(0).alias("_all"))
+    return whole.groupBy("_all").applyInArrow(lambda t: solve(t), "l int, plane array<double>")

@@ -131,7 +131,8 @@ def non_negative_factors(pixels: DataFrame, k: int, rounds: int = 50, seed: int
     import pyarrow as pa
 
     r = np.random.default_rng(seed)
-    first = pixels.select(F.size("spectrum"), F.expr("aggregate(spectrum, 0d, (s, x) -> s + x) / size(spectrum)")).agg(F.max("size(spectrum)"), F.avg(F.col(pixels.select(F.expr("aggregate(spectrum, 0d, (s, x) -> s + x) / size(spectrum)")).columns[0]))).first()
+    mean = F.aggregate("spectrum", F.lit(0.0), lambda s, x: s + x) / F.size("spectrum")
+    first = pixels.agg(F.max(F.size("spectrum")), F.avg(mean)).first()
     length, level = first[0], float(first[1] or 1.0)
     h = r.random((k, length)) * np.sqrt(max(level, 1e-9) / k) + 1e-6
 
