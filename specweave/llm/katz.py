@@ -30,7 +30,7 @@ from specweave.runtime import materialize
 #: Counts up to this are discounted by Good-Turing's ratio.
 LARGEST_DISCOUNTED = 5
 #: Tokens for each partition of the count tables, and bytes of text to a batch.
-PARTITION_TOKENS, BATCH_BYTES = 1_000_000, 7 << 20
+PARTITION_TOKENS, BATCH_BYTES = 1_000_000, 6 << 20
 
 _BEGIN, _END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)

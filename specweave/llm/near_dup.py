@@ -101,15 +101,43 @@ def _signatures(width: int, id_column: str, text_column: str):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, bitmap: np.ndarray):
+    """The sets of the documents whose id has its bit in a bitmap."""
+    bits = np.uint64(len(bitmap) * 64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.slices(batches, "text"):
-            packed = [s.tobytes() for s in words.shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64)
+            at = words.mix(ids) % bits
+            hit = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64)) & 1
+            batch = batch.filter(pa.array(hit.astype(bool) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
+            for part in words.slices([batch], "text"):
+                packed = [s.tobytes() for s in words.shingle_sets(part.column("text"), width)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap with the bit of each id's hash, 16 bits an id but 32 MB at most.
+
+    Each task gives the words of its own bits, which the executors join; it
+    only spares work, as a bit that more ids share lets their sets through.
+    """
+    bits = 1 << min(28, max(16, (16 * ids.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = words.mix(batch.column("doc_id").to_numpy().view(np.uint64)) % np.uint64(bits)
+            word, value = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "value"])
+
+    found = ids.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("value").to_numpy()
+    return out
+
+
 def _confirmed(least: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,9 +252,13 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, shingles``: the sets of some documents, by a column of ids."""
-    wanted = wanted.toDF("doc_id")
-    return materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary").where(F.length("shingles") > 0), "sets")
+    """``doc_id, shingles``: the sets of some documents, by a column of ids.
+
+    The texts aren't shuffled for that: a bitmap of the ids goes to the scan,
+    and the few sets beyond them join with nothing later.
+    """
+    bitmap = _bitmap(wanted.toDF("doc_id"))
+    return materialize(docs.mapInArrow(_sets(width, bitmap), "doc_id long, shingles binary").where(F.length("shingles") > 0), "sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, threshold: Fraction, width: int) -> DataFrame:

@@ -206,7 +206,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = None
-        for batch in words.slices(batches, "text"):
+        for batch in words.slices(batches, "text", 12 << 20):
             vocabulary = vocabulary or PieceVocabulary(model)
             texts = batch.column("text")
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: What one Arrow batch is cut to before it is worked on; a longer text is a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 #: A word as SQL and Spark regular expressions see it.
 WORD = r"[^\x20\x09-\x0D]+"
