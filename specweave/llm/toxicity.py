@@ -241,16 +241,21 @@ class Model:
             np.add.at(seen[name], rows, (grad**2).mean(1))
             np.add.at(table, rows, -rate * grad / np.sqrt(seen[name][rows])[:, None])
 
-    def _odds(self, lexicon: Lexicon, ragged: words.Ragged, toxic: np.ndarray) -> None:
+    def _odds(self, lexicon: Lexicon, ragged: words.Ragged, toxic: np.ndarray, chunk: int = 50) -> None:
         """Smoothed log odds of each bucket by the number of texts with it."""
-        owner = np.repeat(np.arange(len(ragged.counts)), ragged.counts)
-        pairs = np.unique(owner * np.int64(len(ragged.words)) + ragged.ids) if len(ragged.ids) else np.zeros(0, np.int64)
-        text, word = np.divmod(pairs, max(1, len(ragged.words)))
-        grams, place, _ = lexicon.of(word)
-        for name, bucket, owners, buckets in (("words", lexicon.word[word], text, WORD_BUCKETS), ("chars", grams, text[place], CHAR_BUCKETS)):
-            key = np.unique(owners * np.int64(buckets) + bucket)
-            t, b = np.divmod(key, buckets)
-            n1, n0 = np.bincount(b, toxic[t], buckets), np.bincount(b, 1 - toxic[t], buckets)
+        buckets = {"words": WORD_BUCKETS, "chars": CHAR_BUCKETS}
+        with_it = {name: np.zeros((2, n)) for name, n in buckets.items()}
+        for lo in range(0, len(ragged.counts), chunk):
+            starts = ragged.starts[lo : lo + chunk + 1]
+            owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            pairs = np.unique(owner * np.int64(len(ragged.words)) + ragged.ids[starts[0] : starts[-1]])
+            text, word = np.divmod(pairs, max(1, len(ragged.words)))
+            grams, place, _ = lexicon.of(word)
+            for name, bucket, owners in (("words", lexicon.word[word], text), ("chars", grams, text[place])):
+                t, b = np.divmod(np.unique(owners * np.int64(buckets[name]) + bucket), buckets[name])
+                for kind in (0, 1):
+                    with_it[name][kind] += np.bincount(b[toxic[lo + t] == kind], minlength=buckets[name])
+        for name, (n0, n1) in with_it.items():
             odds = np.log((n1 + 1) / (toxic.sum() + 2)) - np.log((n0 + 1) / ((1 - toxic).sum() + 2))
             odds = (np.clip(odds, -4, 4) * (n1 + n0) / (n1 + n0 + 10)).astype(np.float32)
             getattr(self, name)[:, 0] = odds
