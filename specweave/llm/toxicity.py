@@ -192,7 +192,7 @@ class Model:
         best = np.maximum.reduceat(logit, first) if len(first) else np.zeros(0, np.float32)
         return best, logit, start, length, text
 
-    def fit(self, texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Model:
+    def fit(self, texts: list[str | None], toxic: np.ndarray, weight: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Model:
         """Train on whole texts: each step goes through a text's highest window.
 
         A fifth of the texts is left out of training, and sets the scale and
@@ -233,7 +233,7 @@ class Model:
         self._calibrate(_Part(ragged, held), lexicon, toxic[held], weight[held])
         return self
 
-    def _move(self, lexicon: Lexicon, used: np.ndarray, d_x: np.ndarray, seen: dict, rate: float = 0.05) -> None:
+    def _move(self, lexicon: Lexicon, used: np.ndarray, d_x: np.ndarray, seen: dict, rate: float = 0.02) -> None:
         """Adagrad on the vectors that a step used."""
         live = np.flatnonzero(np.abs(d_x[:, : 2 * DIM]).sum(1) > 0)
         grams, owner, n = lexicon.of(used[live])
@@ -294,7 +294,7 @@ def is_held_out(doc_id, buckets: int, bucket: int):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(buckets)) == bucket, F.lit(False))
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = 1000, longest: int = 20_000) -> Model | None:
+def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 20_000) -> Model | None:
     """Fit on a bounded sample: up to ``per_class`` labelled rows of each class.
 
     The sample takes rows that aren't held out, whose label is 0 or 1 and
@@ -324,7 +324,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = 1000, longest
     return Model().fit([texts[i] for i in kept], toxic, weight / weight.mean())
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: int = 1000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: int = 1500) -> DataFrame:
     """Return the rows of ``docs`` as ``doc_id, text, held_out, score, predicted``.
 
     Only the text reaches the score. Labels come from rows that aren't held
