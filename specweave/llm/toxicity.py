@@ -10,6 +10,7 @@ sample, and training then moves all of them.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -299,7 +300,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest
 
     The sample takes rows that aren't held out, whose label is 0 or 1 and
     whose text has at most ``longest`` characters, in the order of a hash of
-    the id. It bounds what the driver holds. Of rows that repeat an id, the
+    the id. It bounds what the one task that trains has to hold. Of rows that repeat an id, the
     highest label and the first text count. Without labels of both kinds the
     result is None.
     """
@@ -309,19 +310,22 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest
         chosen |= {row[0]: kind for row in able.where(F.col("toxic") == kind).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(2 * per_class).select("doc_id").collect()}
     if not chosen:
         return None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isin(list(chosen)) & (F.coalesce(F.length("text"), F.lit(0)) <= longest))
-    texts: dict[int, str | None] = {}
-    for row in sorted(rows.collect(), key=lambda row: (row[0], row[1] or "")):
-        texts.setdefault(row[0], row[1])
-    kept: list[int] = []
-    for kind in (0, 1):
-        kept += [i for i in chosen if i in texts and chosen[i] == kind][:per_class]
-    toxic = np.array([chosen[i] for i in kept], float)
-    if not 0 < toxic.sum() < len(toxic):
-        return None
-    share = {kind: total[kind] / (toxic == kind).sum() for kind in (0, 1)}
-    weight = np.array([share[int(y)] for y in toxic])
-    return Model().fit([texts[i] for i in kept], toxic, weight / weight.mean())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(chosen)) & (F.coalesce(F.length("text"), F.lit(0)) <= longest))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, str | None] = {}
+        for i, text in sorted((r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)), key=lambda r: (r[0], r[1] or "")):
+            texts.setdefault(i, text)
+        kept = [i for kind in (0, 1) for i in [i for i in chosen if i in texts and chosen[i] == kind][:per_class]]
+        toxic = np.array([chosen[i] for i in kept], float)
+        model = None
+        if 0 < toxic.sum() < len(toxic):
+            share = {kind: total[kind] / (toxic == kind).sum() for kind in (0, 1)}
+            weight = np.array([share[int(y)] for y in toxic])
+            model = Model().fit([texts[i] for i in kept], toxic, weight / weight.mean())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(train, "model binary").first()["model"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: int = 1500) -> DataFrame:
@@ -339,7 +343,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_cla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in words.slices(batches, "text", 8 << 20):
+        for batch in words.slices(batches, "text", 4 << 20):
             score = np.zeros(batch.num_rows) if net is None else net.probability(net.scores(words.Ragged(batch.column("text"))))
             yield batch.append_column("score", pa.array(score))
 
@@ -355,7 +359,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for batch in words.slices(batches, "text", 8 << 20):
+        for batch in words.slices(batches, "text", 4 << 20):
             keep = np.ones(batch.num_rows, bool) if net is None else net.probability(net.scores(words.Ragged(batch.column("text")))) < cut
             yield batch.filter(pa.array(keep))
 
