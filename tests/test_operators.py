@@ -61,7 +61,7 @@ def test_median_matches_numpy(spark):
 
 
 def test_geometry_counts():
-    assert [geo.pixels_across(w / 3600, 0.025 / 3600) for w in (3.2, 4.0, 5.2, 6.6)] == [128, 162, 210, 266]
+    assert [geo.pixels_across(w, 0.025) for w in (3.2, 4.0, 5.2, 6.6)] == [128, 160, 208, 264]
     assert [geo.super_resolution(p, 0.025) for p in (0.196, 0.196, 0.245, 0.273)] == [7, 7, 9, 10]
     assert geo.common_step([1.0, 0.5, 0.25]) == 0.25
 
