@@ -49,10 +49,10 @@ def normal_matrix(spark, d):
     return upper.union(upper.where("m1 < m2").select("m2", "m1", "g"))
 
 
-@register("median_normalised_templates", fx.sql("cube", "templates") + "SELECT m, l, round(t / nullif(md, 0), 6) AS t FROM templates JOIN (SELECT m, median(CAST(t AS DOUBLE)) AS md FROM templates GROUP BY m) USING (m)")
+@register("median_normalised_templates", fx.sql("cube", "templates") + "SELECT m, l, round(t / nullif(md, 0), 6) + 0.0 AS t FROM templates JOIN (SELECT m, median(CAST(t AS DOUBLE)) AS md FROM templates GROUP BY m) USING (m)")
 def median_normalised_templates(spark, d):
     t = fx.templates(fx.cube(spark, d))
-    return t.join(t.groupBy("m").agg(F.median("t").alias("md")), "m").select("m", "l", F.round(F.try_divide(F.col("t").cast("double"), "md"), 6).alias("t"))
+    return t.join(t.groupBy("m").agg(F.median("t").alias("md")), "m").select("m", "l", (F.round(F.try_divide(F.col("t").cast("double"), "md"), 6) + 0.0).alias("t"))
 
 
 # Blur, response, decimation, slicing ------------------------------------------
@@ -140,12 +140,12 @@ def _bilinear(spark: SparkSession, d: str) -> DataFrame:
     return linear.bilinear_weights(_targets(spark), 0.0, 1.0, fx.rows_of(spark, d), 0.0, 1.0, fx.COLUMNS)
 
 
-@register("bilinear_gridding", fx.sql("cube", "size") + _BILINEAR + "SELECT l, t, sum(q * w) AS v FROM cube JOIN weights USING (i, j) GROUP BY l, t")
+@register("bilinear_gridding", fx.sql("cube", "size") + _BILINEAR + "SELECT l, t, CAST(sum(q * w) AS DOUBLE) AS v FROM cube JOIN weights USING (i, j) GROUP BY l, t")
 def bilinear_gridding(spark, d):
     return linear.grid_forward(fx.cube(spark, d), _bilinear(spark, d), "q")
 
 
-@register("bilinear_adj", fx.sql("cube", "size") + _BILINEAR + "SELECT l, w2.i AS i, w2.j AS j, sum(g.v * w2.w) AS v FROM (SELECT l, t, sum(q * w) AS v FROM cube JOIN weights USING (i, j) GROUP BY l, t) g JOIN weights w2 USING (t) GROUP BY ALL")
+@register("bilinear_adj", fx.sql("cube", "size") + _BILINEAR + "SELECT l, CAST(w2.i AS INTEGER) AS i, CAST(w2.j AS INTEGER) AS j, CAST(sum(g.v * w2.w) AS DOUBLE) AS v FROM (SELECT l, t, sum(q * w) AS v FROM cube JOIN weights USING (i, j) GROUP BY l, t) g JOIN weights w2 USING (t) GROUP BY ALL")
 def bilinear_adj(spark, d):
     w = _bilinear(spark, d)
     return linear.grid_adjoint(linear.grid_forward(fx.cube(spark, d), w, "q"), w)
@@ -251,10 +251,10 @@ def box_mean_2d(spark, d):
 
 
 @register("interp_linear", fx.sql("cube") + _PACK + """, pt AS (SELECT i, j, k, s, k * 63 / 99.0 AS u FROM px, range(0, 100) AS r(k)), lo AS (SELECT *, CAST(least(floor(u), 62) AS INTEGER) AS a FROM pt)
-SELECT CAST(k AS INTEGER) AS l, i, j, round(s[a + 1] + (u - a) * (s[a + 2] - s[a + 1]), 6) AS v FROM lo""")
+SELECT CAST(k AS INTEGER) AS l, i, j, round(s[a + 1] + (u - a) * (s[a + 2] - s[a + 1]), 6) + 0.0 AS v FROM lo""")
 def interp_linear(spark, d):
     px = schema.spectra(fx.cube(spark, d), "q").withColumn("spectrum", F.transform("spectrum", lambda x: x.cast("double")))
-    return schema.from_spectra(ordered.resample_linear(px, 100)).select("l", "i", "j", F.round("v", 6).alias("v"))
+    return schema.from_spectra(ordered.resample_linear(px, 100)).select("l", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @register("stride_subsample", fx.sql("cube") + "SELECT CAST(l // 4 AS INTEGER) AS l, i, j, q FROM cube WHERE l % 4 = 0")
@@ -440,27 +440,27 @@ def _points(spark, d):
 
 def _coords(spark, d, f):
     x, y = f(F.col("a"), F.col("b"))
-    return _points(spark, d).select("t", F.round(x, 6).alias("alpha"), F.round(y, 6).alias("beta"))
+    return _points(spark, d).select("t", (F.round(x, 6) + 0.0).alias("alpha"), (F.round(y, 6) + 0.0).alias("beta"))
 
 
-@register("rotate_coords", "WITH " + _CUSTOMERS + "SELECT t, round(cos(radians(8.2)) * a + sin(radians(8.2)) * b, 6) AS alpha, round(cos(radians(8.2)) * b - sin(radians(8.2)) * a, 6) AS beta FROM pts")
+@register("rotate_coords", "WITH " + _CUSTOMERS + "SELECT t, round(cos(radians(8.2)) * a + sin(radians(8.2)) * b, 6) + 0.0 AS alpha, round(cos(radians(8.2)) * b - sin(radians(8.2)) * a, 6) + 0.0 AS beta FROM pts")
 def rotate_coords(spark, d):
     return _coords(spark, d, lambda a, b: geo.rotated(a, b, 8.2))
 
 
-@register("local2global", "WITH " + _CUSTOMERS + "SELECT t, round(cos(radians(8.2)) * a - sin(radians(8.2)) * b + 0.3, 6) AS alpha, round(sin(radians(8.2)) * a + cos(radians(8.2)) * b - 0.1, 6) AS beta FROM pts")
+@register("local2global", "WITH " + _CUSTOMERS + "SELECT t, round(cos(radians(8.2)) * a - sin(radians(8.2)) * b + 0.3, 6) + 0.0 AS alpha, round(sin(radians(8.2)) * a + cos(radians(8.2)) * b - 0.1, 6) + 0.0 AS beta FROM pts")
 def local2global(spark, d):
     return _coords(spark, d, lambda a, b: geo.to_global(a, b, 8.2, (F.lit(0.3), F.lit(-0.1))))
 
 
-@register("global2local", "WITH " + _CUSTOMERS + "SELECT t, round(cos(radians(8.2)) * (a - 0.3) + sin(radians(8.2)) * (b + 0.1), 6) AS alpha, round(cos(radians(8.2)) * (b + 0.1) - sin(radians(8.2)) * (a - 0.3), 6) AS beta FROM pts")
+@register("global2local", "WITH " + _CUSTOMERS + "SELECT t, round(cos(radians(8.2)) * (a - 0.3) + sin(radians(8.2)) * (b + 0.1), 6) + 0.0 AS alpha, round(cos(radians(8.2)) * (b + 0.1) - sin(radians(8.2)) * (a - 0.3), 6) + 0.0 AS beta FROM pts")
 def global2local(spark, d):
     return _coords(spark, d, lambda a, b: geo.to_local(a, b, 8.2, (F.lit(0.3), F.lit(-0.1))))
 
 
-@register("pix_snap", "WITH " + _CUSTOMERS + "SELECT t, round_even(a / 0.25, 0) * 0.25 AS alpha, round_even(b / 0.25, 0) * 0.25 AS beta FROM pts")
+@register("pix_snap", "WITH " + _CUSTOMERS + "SELECT t, round_even(a / 0.25, 0) * 0.25 + 0.0 AS alpha, round_even(b / 0.25, 0) * 0.25 + 0.0 AS beta FROM pts")
 def pix_snap(spark, d):
-    return _points(spark, d).select("t", geo.snapped(F.col("a"), 0.25).alias("alpha"), geo.snapped(F.col("b"), 0.25).alias("beta"))
+    return _points(spark, d).select("t", (geo.snapped(F.col("a"), 0.25) + 0.0).alias("alpha"), (geo.snapped(F.col("b"), 0.25) + 0.0).alias("beta"))
 
 
 @register("coord_box", "WITH " + _CUSTOMERS + "SELECT min(a) AS a0, max(a) AS a1, (max(a) + min(a)) / 2 AS ac, min(b) AS b0, max(b) AS b1, (max(b) + min(b)) / 2 AS bc FROM pts")
@@ -478,7 +478,7 @@ def fov_bbox(spark, d):
     return _points(spark, d).withColumn("box", box).select("t", *ends)
 
 
-@register("local_grid", "SELECT CAST(k AS INTEGER) AS idx, round(-2.75 + 0.25 * k, 6) AS x FROM range(0, 23) AS r(k)")
+@register("local_grid", "SELECT CAST(k AS INTEGER) AS idx, CAST(-2.75 + 0.25 * k AS DOUBLE) AS x FROM range(0, 23) AS r(k)")
 def local_grid(spark, d):
     xs = geo.local_axis(4.0, 0.25, 0.75)
     return spark.createDataFrame([(k, round(x, 6)) for k, x in enumerate(xs)], "idx int, x double")
@@ -527,7 +527,7 @@ def generate_pointings(spark, d):
     return _points(spark, d).join(F.broadcast(dithers), F.lit(True)).select("t", "p", (F.col("a") + F.col("da")).alias("alpha"), (F.col("b") + F.col("db")).alias("beta"))
 
 
-@register("header_axis", "SELECT o_orderkey AS t, CAST(k AS INTEGER) AS idx, round((k + 1 + o_orderkey % 3 - 1) * 0.5 + 4.9, 6) AS x FROM orders, range(0, 7) AS r(k) WHERE k < 1 + o_orderkey % 7")
+@register("header_axis", "SELECT o_orderkey AS t, CAST(k AS INTEGER) AS idx, CAST((k + 1 + o_orderkey % 3 - 1) * 0.5 + 4.9 AS DOUBLE) AS x FROM orders, range(0, 7) AS r(k) WHERE k < 1 + o_orderkey % 7")
 def header_axis(spark, d):
     k = F.col("o_orderkey")
     xs = geo.axis_from_header(1 + k % 7, 1 + k % 3, F.lit(0.5), F.lit(4.9))
@@ -541,20 +541,20 @@ def header_join(spark, d):
     return orders.join(named, orders.o_custkey == named.part.cast("long")).select("o_orderkey", "c_name", "part")
 
 
-@register("sky_linear", fx.sql("cube") + "SELECT DISTINCT i, j, round(((j - 9) * 0.9 + (i - 11) * 0.1) * 0.01 + 83.8, 6) AS alpha, round(((j - 9) * -0.1 + (i - 11) * 0.9) * 0.02 - 5.4, 6) AS beta FROM cube")
+@register("sky_linear", fx.sql("cube") + "SELECT DISTINCT i, j, CAST(((j - 9) * 0.9 + (i - 11) * 0.1) * 0.01 + 83.8 AS DOUBLE) AS alpha, CAST(((j - 9) * -0.1 + (i - 11) * 0.9) * 0.02 - 5.4 AS DOUBLE) AS beta FROM cube")
 def sky_linear(spark, d):
     header = {"CRPIX1": 10, "CRPIX2": 12, "CDELT1": 0.01, "CDELT2": 0.02, "CRVAL1": 83.8, "CRVAL2": -5.4, "PC1_1": 0.9, "PC1_2": 0.1, "PC2_1": -0.1, "PC2_2": 0.9}
     a, b = geo.linear_sky(F.col("i"), F.col("j"), header)
     return fx.cube(spark, d).where("l = 0").select("i", "j", F.round(a, 6).alias("alpha"), F.round(b, 6).alias("beta"))
 
 
-@register("oversampled_coords", fx.sql("cube", "size") + "SELECT CAST(i * 3 + a AS INTEGER) AS i, CAST(j * 3 + b AS INTEGER) AS j, round(i * 0.3 + a * 0.1, 6) AS alpha, round(j * 0.3 + b * 0.1, 6) AS beta FROM cube, size, range(0, 3) AS p(a), range(0, 3) AS r(b) WHERE l = 0 AND i > 0 AND j > 0 AND i < n - 1 AND j < 24")
+@register("oversampled_coords", fx.sql("cube", "size") + "SELECT CAST(i * 3 + a AS INTEGER) AS i, CAST(j * 3 + b AS INTEGER) AS j, CAST(i * 0.3 + a * 0.1 AS DOUBLE) AS alpha, CAST(j * 0.3 + b * 0.1 AS DOUBLE) AS beta FROM cube, size, range(0, 3) AS p(a), range(0, 3) AS r(b) WHERE l = 0 AND i > 0 AND j > 0 AND i < n - 1 AND j < 24")
 def oversampled_coords(spark, d):
     c = fx.cube(spark, d).where("l = 0").select("i", "j", (F.col("i") * 0.3).alias("alpha"), (F.col("j") * 0.3).alias("beta"))
     return geo.oversampled(c, 3, 0.1).withColumns({"alpha": F.round("alpha", 6), "beta": F.round("beta", 6)})
 
 
-@register("extend_axis", "SELECT CAST(k AS INTEGER) AS idx, round(CASE WHEN k < 10 THEN 5 - (10 - k) * 0.1 WHEN k < 74 THEN 5 + (k - 10) * 0.01 ELSE 5.63 + (k - 73) * 0.1 END, 6) AS x FROM range(0, 84) AS r(k)")
+@register("extend_axis", "SELECT CAST(k AS INTEGER) AS idx, CAST(CASE WHEN k < 10 THEN 5 - (10 - k) * 0.1 WHEN k < 74 THEN 5 + (k - 10) * 0.01 ELSE 5.63 + (k - 73) * 0.1 END AS DOUBLE) AS x FROM range(0, 84) AS r(k)")
 def extend_axis(spark, d):
     packed = _axis(spark).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda s: s["x"]).alias("x"))
     return ordered.extend_axis(packed).select(F.posexplode("x").alias("idx", "x")).withColumn("x", F.round("x", 6))
