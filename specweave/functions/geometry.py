@@ -141,3 +141,36 @@ def gnomonic_sky(i: Column, j: Column, header: dict[str, float]) -> tuple[Column
     base = F.cos(d0) - v * F.sin(d0)
     alpha = F.degrees(F.atan2(u, base)) + header["CRVAL1"]
     return alpha, F.degrees(F.atan2(F.sin(d0) + v * F.cos(d0), F.sqrt(u * u + base * base)))
+
+
+def fractional_slits(spark: SparkSession, alpha_axis: list[float], beta_axis: list[float], alpha_width: float, beta_width: float, n_slits: int) -> DataFrame:
+    """Weights (s, i, j, w) of the slits of a field on its local grid.
+
+    A slit takes the samples whose cells it touches, at most as many columns
+    as its width spans; of too many, the column farther beyond its own edge
+    goes. An edge column weighs the share of its cell in the slit where the
+    neighbouring slit has it too, and 1 where it does not. The tables are as
+    long as the slits, built here and shipped.
+    """
+    ha, hb = alpha_axis[1] - alpha_axis[0], beta_axis[1] - beta_axis[0]
+    touched = lambda axis, h, lo, hi: (min(k for k, x in enumerate(axis) if lo < x + h / 2), max(k for k, x in enumerate(axis) if x - h / 2 < hi) + 1)
+    width = beta_width / n_slits
+    rows = touched(alpha_axis, ha, -alpha_width / 2, alpha_width / 2)
+    edges = [(s * width - beta_width / 2, (s + 1) * width - beta_width / 2) for s in range(n_slits)]
+    spans = []
+    for lo, hi in edges:
+        first, stop = touched(beta_axis, hb, lo, hi)
+        if stop - first > pixels_across(width, hb):
+            beyond = abs(beta_axis[min(stop, len(beta_axis) - 1)] - hi) > abs(beta_axis[first] - lo)
+            first, stop = (first, stop - 1) if beyond else (first + 1, stop)
+        spans.append((first, stop))
+    out = []
+    for s, ((first, stop), (lo, hi)) in enumerate(zip(spans, edges, strict=True)):
+        w = dict.fromkeys(range(first, stop), 1.0)
+        if beta_axis[first] - hb / 2 < lo and (s == 0 or spans[s - 1][1] - 1 == first):
+            w[first] = 1 - (lo - beta_axis[first] + hb / 2) / hb
+        if beta_axis[stop - 1] + hb / 2 > hi and (s == n_slits - 1 or spans[s + 1][0] == stop - 1):
+            w[stop - 1] = 1 - (beta_axis[stop - 1] + hb / 2 - hi) / hb
+        out += [(s, j, x) for j, x in w.items()]
+    table = spark.createDataFrame(out, "s int, j int, w double")
+    return table.select("s", F.explode(F.sequence(F.lit(rows[0]), F.lit(rows[1] - 1))).alias("i"), "j", "w")

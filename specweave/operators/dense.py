@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,25 +77,98 @@ def one_hot_response(w: np.ndarray) -> np.ndarray:
     return (w == w.max(1, keepdims=True)).astype(float)
 
 
-def closed_form_maps(stacked_maps: DataFrame, spectra: np.ndarray, otf: np.ndarray, grid: GridSpec, mu: float) -> DataFrame:
-    """Maps that solve the regularised mixing problem, one small system a frequency.
+def repair_low(pixels: DataFrame, least: float = 1e-2) -> DataFrame:
+    """Interior values below ``least`` become the mean of their neighbours.
 
-    ``stacked_maps`` holds the adjoint's maps as planes (l = template). The
-    systems are as many as frequencies, each of the order of the templates.
+    In order of wavelength, so that a repaired value serves the next one.
+    Spectra (i, j, spectrum) may differ in length; null ones stay null.
     """
-    k = spectra.shape[0]
-    rows = np.fft.fftfreq(grid.rows)[:, None]
-    cols = np.fft.rfftfreq(grid.columns)[None, :]
-    smooth = 4 * np.sin(np.pi * rows) ** 2 + 4 * np.sin(np.pi * cols) ** 2
-    gram = spectra @ spectra.T
-    system = gram[None, None] * (np.abs(otf) ** 2)[:, :, None, None] + mu * smooth[:, :, None, None] * np.eye(k) + 1e-12 * np.eye(k)
 
-    def solve(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spectra = batch.column("spectrum").to_pylist()
+            out: list[np.ndarray | None] = [None] * len(spectra)
+            for n in {len(s) for s in spectra if s is not None}:
+                rows = [k for k, s in enumerate(spectra) if s is not None and len(s) == n]
+                x = np.array([spectra[k] for k in rows], float)
+                for l in range(1, n - 1):
+                    x[:, l] = np.where(x[:, l] < least, (x[:, l - 1] + x[:, l + 1]) / 2, x[:, l])
+                for k, v in zip(rows, x, strict=True):
+                    out[k] = v
+            yield batch.set_column(batch.schema.get_field_index("spectrum"), "spectrum", pa.array(out, pa.list_(pa.float64())))
+
+    return pixels.select("i", "j", F.col("spectrum").cast("array<double>").alias("spectrum")).mapInArrow(run, "i int, j int, spectrum array<double>")
+
+
+_FREQUENCIES = "f int, l int, re array<double>, im array<double>"
+
+
+def to_frequencies(stacked: DataFrame, grid: GridSpec) -> DataFrame:
+    """Planes (l, plane) as rows of frequencies: (f, l, re, im), f the row of the real FFT."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("plane").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, grid.rows, grid.columns)
+            y = np.fft.rfft2(x).reshape(len(x) * grid.rows, -1)
+            of = np.repeat(batch.column("l").to_numpy(), grid.rows)
+            row = np.tile(np.arange(grid.rows), len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(of, pa.int32()), pa.array(list(y.real), pa.list_(pa.float64())), pa.array(list(y.imag), pa.list_(pa.float64()))], names=["f", "l", "re", "im"])
+
+    return stacked.mapInArrow(run, _FREQUENCIES)
+
+
+def from_frequencies(rows: DataFrame, grid: GridSpec) -> DataFrame:
+    """Planes again; a plane's rows meet in one group of the size of a plane."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("f")
+        z = np.array(table.column("re").to_pylist()) + 1j * np.array(table.column("im").to_pylist())
+        plane = np.fft.irfft2(z, s=(grid.rows, grid.columns)).ravel()
+        return pa.table({"l": table.column("l").slice(0, 1), "plane": pa.array([plane], pa.list_(pa.float64()))})
+
+    return rows.groupBy("l").applyInArrow(lambda t: run(t), "l int, plane array<double>")
+
+
+def apply_by_frequency(rows: DataFrame, system: Callable[[int], np.ndarray], solve: bool = False) -> DataFrame:
+    """A K by K matrix at each frequency applied to K maps, or solved for them.
+
+    ``system`` gives the matrices [column, K, K] of one row of frequencies;
+    maps are in order of l. Each row of frequencies is one group of K arrays.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("l")
-        x = np.array(table.column("plane").to_pylist(), float).reshape(k, grid.rows, grid.columns)
-        f = np.moveaxis(np.fft.rfft2(x), 0, -1)[..., None]
-        y = np.fft.irfft2(np.moveaxis(np.linalg.solve(system, f)[..., 0], -1, 0), s=(grid.rows, grid.columns))
-        return pa.table({"l": table.column("l"), "plane": pa.array(list(y.reshape(k, -1)), pa.list_(pa.float64()))})
+        z = np.array(table.column("re").to_pylist()) + 1j * np.array(table.column("im").to_pylist())
+        m = system(table.column("f")[0].as_py())
+        y = (np.linalg.solve(m, z.T[..., None]) if solve else m @ z.T[..., None])[..., 0].T
+        return pa.table({"f": table.column("f"), "l": table.column("l"), "re": pa.array(list(y.real), pa.list_(pa.float64())), "im": pa.array(list(y.imag), pa.list_(pa.float64()))})
+
+    return rows.groupBy("f").applyInArrow(lambda t: run(t), _FREQUENCIES)
+
+
+def mixing_system(spectra: np.ndarray, otf: np.ndarray, grid: GridSpec, mu: float = 0.0) -> Callable[[int], np.ndarray]:
+    """Normal matrices of blur and mixing by row of frequencies, with ``mu`` on differences.
+
+    ``spectra`` is [K, wavelength]; ``otf`` [rows, columns // 2 + 1], or with
+    a leading axis by wavelength, which may include a throughput.
+    """
+    k = spectra.shape[0]
+    across = 4 * np.sin(np.pi * np.fft.rfftfreq(grid.columns)) ** 2
+    down = 4 * np.sin(np.pi * np.fft.fftfreq(grid.rows)) ** 2
+
+    def system(f: int) -> np.ndarray:
+        power = np.abs(otf[..., f, :]) ** 2
+        gram = np.einsum("al,bl,lc->cab", spectra, spectra, power) if otf.ndim == 3 else (spectra @ spectra.T)[None] * power[:, None, None]
+        return gram + mu * (down[f] + across)[:, None, None] * np.eye(k)
+
+    return system
+
 
-    whole = stacked_maps.select("l", "plane", F.lit(0).alias("_all"))
-    return whole.groupBy("_all").applyInArrow(lambda t: solve(t), "l int, plane array<double>")
+def closed_form_maps(stacked_maps: DataFrame, spectra: np.ndarray, otf: np.ndarray, grid: GridSpec, mu: float) -> DataFrame:
+    """Maps that solve the regularised mixing problem, one small system a frequency.
+
+    ``stacked_maps`` holds the adjoint's maps as planes (l = template).
+    """
+    normal = mixing_system(spectra, otf, grid, mu)
+    steady = lambda f: normal(f) + 1e-12 * np.eye(spectra.shape[0])
+    return from_frequencies(apply_by_frequency(to_frequencies(stacked_maps, grid), steady, solve=True), grid)

@@ -161,3 +161,26 @@ def integrate(cube: DataFrame, weights: DataFrame, value: str = "v") -> DataFram
 
 def pixel_sum(terms: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+
+
+def window_offset(axis: list[float], at: float, width: int) -> tuple[int, int]:
+    """First index and end of a window of about ``width`` around the nearest sample, the first of several."""
+    middle = min(range(len(axis)), key=lambda k: (abs(axis[k] - at), k))
+    return middle - width // 2, middle + width // 2 + 1
+
+
+def crop_window(plane: DataFrame, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
+    """The part of (…, i, j, v) in a window, counted from its corner."""
+    inside = (F.col("i") >= rows[0]) & (F.col("i") < rows[1]) & (F.col("j") >= columns[0]) & (F.col("j") < columns[1])
+    return plane.where(inside).withColumns({"i": (F.col("i") - rows[0]).cast("int"), "j": (F.col("j") - columns[0]).cast("int")})
+
+
+def paste_window(local: DataFrame, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
+    """A window's part back at its place; pixels outside are absent, that is 0."""
+    return local.withColumns({"i": (F.col("i") + rows[0]).cast("int"), "j": (F.col("j") + columns[0]).cast("int")})
+
+
+def mixing_normal(maps: DataFrame, templates: DataFrame, kept: DataFrame) -> DataFrame:
+    """Adjoint after forward mixing, over the kept voxels (l, i, j) only: (m, i, j, a)."""
+    cube = mix_maps(maps, templates).join(kept.select("l", "i", "j"), ["l", "i", "j"], "left_semi")
+    return unmix_cube(cube, templates)
