@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 
 from specweave.schema import GridSpec
 
+#: Samples that an edge goes on for; a spline's memory of a value falls to 1e-7 over them.
+EDGE = 12
+
 
 def spline_matrix(n: int) -> np.ndarray:
     """Values at the knots from cubic B-spline coefficients mirrored at both ends."""
@@ -20,24 +23,32 @@ def spline_matrix(n: int) -> np.ndarray:
     return m if n > 1 else np.eye(1)
 
 
-def rotate_planes(stacked: DataFrame, degrees: float, grid: GridSpec) -> DataFrame:
-    """Planes (l, plane) turned about their centre by cubic splines; 0 from outside."""
+def rotate_planes(stacked: DataFrame, degrees: float, grid: GridSpec, outside: str = "nearest") -> DataFrame:
+    """Planes (l, plane) turned about their centre by cubic splines.
+
+    Outside a plane its edge goes on (``nearest``), as far as the turn needs,
+    or all is 0 (``zero``). A null or NaN value spreads over its plane.
+    """
     rows, columns = grid.rows, grid.columns
     a = np.radians(degrees)
     di, dj = np.meshgrid(np.arange(rows) - (rows - 1) / 2, np.arange(columns) - (columns - 1) / 2, indexing="ij")
-    x = (np.cos(a) * di + np.sin(a) * dj).ravel() + (rows - 1) / 2
-    y = (np.cos(a) * dj - np.sin(a) * di).ravel() + (columns - 1) / 2
-    inside = (x >= 0) & (x <= rows - 1) & (y >= 0) & (y <= columns - 1)
-    base = np.floor(x).astype(int), np.floor(y).astype(int)
+    pad = EDGE if outside == "nearest" else 0
+    tall, wide = rows + 2 * pad, columns + 2 * pad
+    x = (np.cos(a) * di + np.sin(a) * dj).ravel() + (tall - 1) / 2
+    y = (np.cos(a) * dj - np.sin(a) * di).ravel() + (wide - 1) / 2
+    inside = (x >= 0) & (x <= tall - 1) & (y >= 0) & (y <= wide - 1)
+    if outside == "nearest":
+        x, y, inside = np.clip(x, 0, tall - 1), np.clip(y, 0, wide - 1), np.ones(len(x), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        down, across = np.linalg.inv(spline_matrix(rows)), np.linalg.inv(spline_matrix(columns))
+        down, across = np.linalg.inv(spline_matrix(tall)), np.linalg.inv(spline_matrix(wide))
         at = np.flatnonzero(inside)
-        places = [[_mirrored(b[at] + k, n) for k in range(-1, 3)] for b, n in zip(base, (rows, columns), strict=True)]
-        parts = [[_cubic(np.abs(u[at] - b[at] - k)) for k in range(-1, 3)] for u, b in zip((x, y), base, strict=True)]
+        base = [np.floor(u[at]).astype(int) for u in (x, y)]
+        places = [[_mirrored(b + k, n) for k in range(-1, 3)] for b, n in zip(base, (tall, wide), strict=True)]
+        parts = [[_cubic(np.abs(u[at] - b - k)) for k in range(-1, 3)] for u, b in zip((x, y), base, strict=True)]
         for batch in batches:
             v = batch.column("plane").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, rows, columns)
-            c = down @ v @ across.T
+            c = down @ np.pad(v, ((0, 0), (pad, pad), (pad, pad)), mode="edge") @ across.T
             out = np.zeros((len(v), rows * columns))
             for i, p in zip(places[0], parts[0], strict=True):
                 for j, q in zip(places[1], parts[1], strict=True):

@@ -57,12 +57,13 @@ def test_delaunay_edges(spark):
     assert triangulation.delaunay_weights(spark.createDataFrame([(0, 1.5, 0.3)], "t long, x double, y double"), line, 1.0).count() == 0
 
 
+@pytest.mark.parametrize("outside", ["nearest", "zero"])
 @pytest.mark.parametrize("degrees,turned", [(0, lambda x: x), (90, lambda x: np.rot90(x, 1, (1, 2))), (180, lambda x: x[:, ::-1, ::-1])])
-def test_cubic_rotation_by_right_angles(spark, degrees, turned):
+def test_cubic_rotation_by_right_angles(spark, degrees, turned, outside):
     g = schema.GridSpec(7, 7, 2)
     x = np.random.default_rng(1).random((2, 7, 7))
     planes = spark.createDataFrame([(k, [float(v) for v in p.ravel()]) for k, p in enumerate(x)], "l int, plane array<double>")
-    out = np.array([r.plane for r in spline.rotate_planes(planes, degrees, g).orderBy("l").collect()]).reshape(x.shape)
+    out = np.array([r.plane for r in spline.rotate_planes(planes, degrees, g, outside).orderBy("l").collect()]).reshape(x.shape)
     inside = np.s_[:, 1:-1, 1:-1]  # a right angle's rounding may put the border outside
     assert np.allclose(out[inside], turned(x)[inside])
 
@@ -77,6 +78,14 @@ def test_cubic_rotation_keeps_smooth_planes(spark):
     assert np.abs(out - want)[8:-8, 8:-8].max() < 1e-4
 
 
+def test_rotation_goes_on_beyond_the_edge(spark):
+    g = schema.GridSpec(9, 9, 1)
+    flat = spark.createDataFrame([(0, [3.0] * 81)], "l int, plane array<double>")
+    assert np.allclose(spline.rotate_planes(flat, 45.0, g).first().plane, 3.0)
+    corner = spline.rotate_planes(flat, 45.0, g, "zero").first().plane
+    assert corner[0] == 0 and abs(corner[40] - 3) < 1e-9
+
+
 def test_repair_goes_in_order(spark):
     px = spark.createDataFrame([(0, 0, [5.0, 0.0, 0.0, 4.0, 0.0]), (0, 1, None), (0, 2, [0.0]), (0, 3, [])], "i int, j int, spectrum array<double>")
     out = {r.j: r.spectrum for r in dense.repair_low(px).collect()}
