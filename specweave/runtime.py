@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder of its own, as in local tests.
 LOCAL_FALLBACK = "file:/tmp/checkpoints"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,10 +25,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
     The scan has no lineage, so a lost executor costs one task and not the
     plan that made the table; it is written once and read as often as needed.
+    The shuffle files behind it have then served and are deleted.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
