@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from specweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FEW = ["lmm_cube2maps", "lmm_maps2cube", "circ_conv_adj", "wblur_t", "bilinear_adj", "dot_identity", "median_filter_11", "polygon_mean", "components", "shepard", "nearest_fill", "slit_table", "header_join"]
+FEW = ["lmm_cube2maps", "lmm_maps2cube", "circ_conv_adj", "wblur_t", "bilinear_adj", "dot_identity", "median_filter_11", "polygon_mean", "components", "shepard", "nearest_fill", "slit_table", "header_join", "repair_low", "masked_normal", "hessian_apply", "corrected_slices", "copied_targets", "spectral_response"]
 
 
 @pytest.mark.parametrize("name", FEW)
