@@ -157,24 +157,50 @@ def _add_up(table: pa.Table) -> pa.Table:
     })
 
 
+def smoothed(n: list[int]) -> np.ndarray | None:
+    """Counts of counts on the line of log n_r by log r (Simple Good-Turing).
+
+    Each nonzero count is first spread over the zeros around it. None where
+    fewer than two are nonzero or the line falls no faster than 1 / r: then
+    Good-Turing has no estimate to give.
+    """
+    r = np.flatnonzero(n) + 1
+    if len(r) < 2:
+        return None
+    before = np.concatenate([[0], r[:-1]])
+    after = np.concatenate([r[1:], [2 * r[-1] - before[-1]]])
+    slope, level = np.polyfit(np.log(r), np.log(2 * np.array(n, float)[r - 1] / (after - before)), 1)
+    return np.exp(level + slope * np.log(np.arange(1, len(n) + 1))) if slope < -1 else None
+
+
+def _katz(counts: np.ndarray) -> np.ndarray | None:
+    """Katz's ratios, or None where they don't rise between 0 and 1."""
+    k = LARGEST_DISCOUNTED
+    r = np.arange(1, k + 1)
+    tail = (k + 1) * counts[k] / counts[0]
+    if tail == 1:
+        return None
+    ratio = ((r + 1) * counts[1 : k + 1] / counts[:k] / r - tail) / (1 - tail)
+    return ratio if (ratio > 0).all() and (ratio < 1).all() and (np.diff(ratio * r) > 0).all() else None
+
+
 def discounts(n: list[int]) -> np.ndarray:
     """The share of its count that an n-gram keeps, for counts 0 to 5.
 
     ``n[r - 1]`` n-grams have count r. These are Katz's ratios from
-    Good-Turing estimates; where the counts don't give ratios that rise and
-    lie between 0 and 1 (as in small corpora), a constant is subtracted from
-    each count instead.
+    Good-Turing estimates. Groups of copies lift some counts of counts (five
+    copies lift the fifth), so that the ratios may not rise or not lie
+    between 0 and 1; they are then taken from the smoothed counts, with
+    which they always do. Only where those have no line either (see
+    ``smoothed``) a constant is subtracted from each count instead.
     """
-    k = LARGEST_DISCOUNTED
-    r = np.arange(1, k + 1)
-    if all(n):
-        counts = np.array(n, float)
-        tail = (k + 1) * counts[k] / counts[0]
-        ratio = ((r + 1) * counts[1 : k + 1] / counts[:k] / r - tail) / (1 - tail) if tail != 1 else np.zeros(k)
-        if (ratio > 0).all() and (ratio < 1).all() and (np.diff(ratio * r) > 0).all():
-            return np.concatenate([[0.0], ratio])
-    d = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    return np.concatenate([[0.0], (r - d) / r])
+    ratio = _katz(np.array(n, float)) if all(n) else None
+    if ratio is None and (line := smoothed(n)) is not None:
+        ratio = _katz(line)
+    if ratio is None:
+        r = np.arange(1, LARGEST_DISCOUNTED + 1)
+        ratio = (r - (n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5)) / r
+    return np.concatenate([[0.0], ratio])
 
 
 def kept(count: np.ndarray, ratio: np.ndarray) -> np.ndarray:

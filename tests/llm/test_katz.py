@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from specweave.llm.katz import LARGEST_DISCOUNTED, discounts, kept, katz_scores
+from specweave.llm.katz import LARGEST_DISCOUNTED, discounts, kept, katz_scores, smoothed
 
 
 def brute(rows):
@@ -63,3 +63,27 @@ def test_discounts_leave_mass():
     for n in ([1000, 300, 120, 60, 40, 25], [5, 0, 0, 0, 0, 0], [0] * 6, [3, 9, 1, 1, 1, 1]):
         ratio = discounts(n)
         assert (kept(np.arange(1, 50), ratio) < np.arange(1, 50)).all() and (kept(np.arange(1, 50), ratio) > 0).all()
+
+
+def test_good_turing_holds_on_corpora_with_copies(spark):
+    # Training bigrams of the tables at scale 0.1, 0.01 and 0.001: copies lift the fifth count.
+    for n in ([1482341, 227973, 46941, 19718, 17404, 6993], [184712, 23127, 5984, 1951, 2262, 607], [41770, 4266, 514, 265, 179, 61]):
+        ratio, r = discounts(n)[1:], np.arange(1, LARGEST_DISCOUNTED + 1)
+        assert (ratio > 0).all() and (ratio < 1).all() and (np.diff(ratio * r) > 0).all()
+        power = np.polyfit(np.log(np.arange(1, 7)), np.log(n), 1)[0] + 1
+        tail = 6**power
+        assert ratio == pytest.approx(((1 + 1 / r) ** power - tail) / (1 - tail))
+        assert np.ptp(r * (1 - ratio)) > 0.1  # not one constant from each count
+    # Copies in texts: the scores are those of the smoothed counts.
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in r.zipf(1.6, 60) % 400) for _ in range(40)]
+    rows = list(enumerate([*texts, *[" ".join(f"c{k}" for k in range(150))] * 7]))
+    want, sums = brute(rows)
+    got = katz_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(x.score for x in got) == pytest.approx(sorted(x[6] for x in want), abs=1e-8)
+    assert sums == pytest.approx([1.0] * len(sums), abs=1e-9)
+
+
+def test_smoothed_spreads_counts_over_zeros():
+    assert smoothed([64, 16, 0, 4, 0, 0]) == pytest.approx(np.exp(np.polyval(np.polyfit(np.log([1, 2, 4]), np.log([64, 32 / 3, 2]), 1), np.log(np.arange(1, 7)))))
+    assert smoothed([5, 0, 0, 0, 0, 0]) is None and smoothed([5, 5, 5, 5, 5, 5]) is None
