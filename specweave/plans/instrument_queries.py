@@ -11,6 +11,7 @@ from specweave.operators import dense, linear, neighbours, spline, triangulation
 from specweave.plans import corrections, solvers
 from specweave.plans import fixtures as fx
 from specweave.plans.registry import register
+from specweave.runtime import materialize
 from specweave.sources import headers
 
 
@@ -168,8 +169,9 @@ def rotate_cubic(spark, d):
 
 @register("huber_recover")
 def huber_recover(spark, d):
-    c, g = fx.cube(spark, d).where("l < 16"), _grid(spark, d)
-    t = fx.templates(c).select("m", "l", (F.col("t") / 1000.0).alias("t"))
+    c, g = fx.cube(spark, d), _grid(spark, d)
+    t = materialize(fx.templates(c).select("m", "l", (F.col("t") / 1000.0).alias("t")), "templates")
     forward = lambda x: linear.mix_maps(x.withColumnRenamed("v", "a"), t)
     adjoint = lambda y: linear.unmix_cube(y, t, "v").withColumnRenamed("a", "v")
-    return solvers.huber_maps(forward, adjoint, adjoint(c.select("l", "i", "j", "v")), ["m", "i", "j"], 0.1, 0.05, g.rows, g.columns, outer=1, iterations=2)
+    right = materialize(adjoint(c.select("l", "i", "j", "v")), "right")
+    return solvers.huber_maps(forward, adjoint, right, ["m", "i", "j"], 0.1, 0.05, g.rows, g.columns)
