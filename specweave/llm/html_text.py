@@ -413,7 +413,7 @@ def train(pages: int = 700) -> Labeller:
 def extract_main_text(pages: DataFrame, training_pages: int = 700) -> DataFrame:
     """Return ``page_id, url, text, n_chars`` for each row.
 
-    The text is the page's main blocks in order, joined by new lines;
+    The text is the page's main blocks in order, an empty line between;
     ``n_chars`` counts its code points. A null or empty html, and a page
     without main text, give an empty one. Null ids and urls and repeated
     rows stay; other columns are ignored; an empty table gives no rows. The
@@ -426,7 +426,7 @@ def extract_main_text(pages: DataFrame, training_pages: int = 700) -> DataFrame:
         for batch in words.slices(batches, "html", 8 << 20):
             found = [blocks(h or "") for h in batch.column("html").to_pylist()]
             main = shared.value.keep(found, cache)
-            texts = ["\n".join(b[1] for b, k in zip(f, m, strict=True) if k) for f, m in zip(found, main, strict=True)]
+            texts = ["\n\n".join(b[1] for b, k in zip(f, m, strict=True) if k) for f, m in zip(found, main, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
