@@ -12,6 +12,7 @@ from specweave.operators import dense, linear, metrics, neighbours, ordered, sel
 from specweave.plans import fixtures as fx
 from specweave.plans import solvers
 from specweave.plans.registry import register
+from specweave.runtime import materialize
 
 GRID = """axis AS (SELECT CAST(k AS INTEGER) AS idx, 5.0 + 0.01 * k AS x FROM range(0, 64) AS r(k))"""
 
@@ -209,6 +210,97 @@ def dot_identity(spark, d):
     return left.join(linear.dot(_adjoint(spark, d, y), c.drop("v"), ["l", "i", "j"], "v", "q").withColumnRenamed("dot", "hty_x"), F.lit(True))
 
 
+# The reference's composite model --------------------------------------------------
+
+#: Two channels: wavelengths, and two pointings (rows, columns) of their fields on the cube's grid.
+_CHANNELS = {"a": ((0, 40), ((0.25, 0.5), (0.75, 0.25))), "b": ((24, 64), ((0.5, 0.25), (0.0, 0.75)))}
+_BOX, _SLITS, _WIDTH = 3, 7, 3.4
+
+
+def _fields(spark, rows):
+    """(t, i, j, w) of each pointing: the field's samples t, 24 to a row, on the grid."""
+    t = spark.range((rows - 1) * (fx.COLUMNS - 1)).select(F.col("id").alias("t"), F.expr(f"id div {fx.COLUMNS - 1}").alias("a"), (F.col("id") % (fx.COLUMNS - 1)).alias("b"))
+    at = lambda alpha, beta: t.select("t", (F.col("a") + alpha).alias("x"), (F.col("b") + beta).alias("y"))
+    return lambda alpha, beta: linear.bilinear_weights(at(alpha, beta), 0.0, 1.0, rows, 0.0, 1.0, fx.COLUMNS)
+
+
+def _parts(spark, d):
+    """(channel, pointing, weights of S, weights of L, weights of R) for each observation."""
+    rows = fx.rows_of(spark, d)
+    fields = _fields(spark, rows)
+    slits = linear.slit_weights(spark, _SLITS, _WIDTH, rows - 1).where(f"j < {fx.COLUMNS - 1}")
+    for chan, ((first, last), pointings) in _CHANNELS.items():
+        response = fx.wpsf(spark).where((F.col("l") >= first) & (F.col("l") < last))
+        for p, at in enumerate(pointings):
+            yield chan, p, fields(*at), slits, response
+
+
+def sig_forward(spark, d, maps, templates):
+    """R box L S C T: maps (m, i, j, a) to detector samples (chan, p, s, lp, i, v) of all channels and pointings."""
+    g = _grid(spark, d)
+    blurred = linear.circular_blur(linear.mix_maps(maps, templates), fx.psf(spark), g)
+    out = None
+    for chan, p, field, slits, response in _parts(spark, d):
+        local = linear.grid_forward(blurred, field).select("l", F.expr(f"t div {fx.COLUMNS - 1}").cast("int").alias("i"), (F.col("t") % (fx.COLUMNS - 1)).cast("int").alias("j"), "v")
+        sliced = linear.slice_forward(local, slits).where(F.col("i") < _BOX * ((g.rows - 1) // _BOX))
+        boxed = sliced.groupBy("s", "l", F.expr(f"i div {_BOX}").cast("int").alias("i"), "j").agg(F.sum("v").alias("v"))
+        y = linear.apply_weights(boxed, response.withColumnRenamed("b", "j"), ["l", "j"], ["s", "lp", "i"]).select(F.lit(chan).alias("chan"), F.lit(p).alias("p"), "s", "lp", "i", "v")
+        out = y if out is None else out.unionByName(y)
+    return out
+
+
+def sig_adjoint(spark, d, y, templates):
+    """The exact adjoint of ``sig_forward``: samples of all channels and pointings to maps (m, i, j, a)."""
+    g = _grid(spark, d)
+    cube = None
+    for chan, p, field, slits, response in _parts(spark, d):
+        mine = y.where((F.col("chan") == chan) & (F.col("p") == p)).select("s", "lp", "i", "v")
+        boxed = linear.apply_weights(mine, response.withColumnRenamed("b", "j"), ["lp"], ["s", "l", "i", "j"])
+        sliced = boxed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_BOX - 1)))).select("s", "l", (F.col("i") * _BOX + F.col("k")).cast("int").alias("i"), "j", "v")
+        local = linear.slice_adjoint(sliced, slits).select("l", (F.col("i") * (fx.COLUMNS - 1) + F.col("j")).cast("long").alias("t"), "v")
+        part = linear.grid_adjoint(local, field)
+        cube = part if cube is None else cube.unionByName(part)
+    summed = cube.groupBy("l", "i", "j").agg(F.sum("v").alias("v"))
+    return linear.unmix_cube(linear.circular_blur(summed, fx.psf(spark), g, transposed=True), templates)
+
+
+def _model(spark, d):
+    c = fx.cube(spark, d)
+    t = materialize(fx.templates(c).select("m", "l", (F.col("t") / 1000.0).alias("t")), "templates")
+    return materialize(fx.maps(c).select("m", "i", "j", (F.col("a") / 1e6).alias("a")), "maps"), t
+
+
+def _samples(spark, d):
+    """Detector samples that don't come from the model: the cube's values, for each slit."""
+    n = (fx.rows_of(spark, d) - 1) // _BOX
+    y = fx.cube(spark, d).where(f"l < 32 and j < {_SLITS} and i < {n}").select(F.col("j").alias("s"), F.col("l").alias("lp"), "i", "v")
+    out = None
+    for chan, (_, pointings) in _CHANNELS.items():
+        for p in range(len(pointings)):
+            part = y.select(F.lit(chan).alias("chan"), F.lit(p).alias("p"), "s", "lp", "i", (F.col("v") + p + 1).alias("v"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("sig_forward_chain")
+def sig_forward_chain(spark, d):
+    return sig_forward(spark, d, *_model(spark, d))
+
+
+@register("sig_adjoint_chain")
+def sig_adjoint_chain(spark, d):
+    return sig_adjoint(spark, d, _samples(spark, d), _model(spark, d)[1])
+
+
+@register("sig_dot_identity")
+def sig_dot_identity(spark, d):
+    """The two sides of the dot test over all stages, channels and pointings."""
+    maps, t = _model(spark, d)
+    y = _samples(spark, d)
+    left = linear.dot(y, sig_forward(spark, d, maps, t), ["chan", "p", "s", "lp", "i"]).withColumnRenamed("dot", "y_hx")
+    return left.join(linear.dot(sig_adjoint(spark, d, y, t), maps, ["m", "i", "j"], "a", "a").withColumnRenamed("dot", "hty_x"), F.lit(True))
+
+
 # Ordered operators ------------------------------------------------------------
 
 def _diff_sql(axis: str, n: str, transposed: bool) -> str:
