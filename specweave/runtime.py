@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no folder of its own, as in local tests.
 LOCAL_FALLBACK = "file:/tmp/checkpoints"
+#: Bytes of an Arrow batch to a Python worker.
+BATCH_BYTES = 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -20,8 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (configured or spark.sparkContext.getCheckpointDir() or LOCAL_FALLBACK).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return a scan of it.
+def materialize(df: DataFrame, name: str = "table", counted: bool = False):
+    """Write ``df`` as Parquet in the shared folder and return a scan of it, with its number of rows if ``counted``.
 
     The scan has no lineage, so a lost executor costs one task and not the
     plan that made the table; it is written once and read as often as needed.
@@ -29,17 +35,46 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    seen = Observation()
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df).write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return (table, seen.get["n"]) if counted else table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize``, once all that reads them has been written itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(run):
+    """A function over Arrow batches that gives freed memory back to the system at its end; idle workers otherwise keep it."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once a session, for Python workers."""
+    """Send this package to the executors, once a session, for Python workers.
+
+    Arrow batches to them hold few MB from then on: by default they end at
+    a number of rows, however long the texts in these are.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if not any(str(f).endswith("/specweave.zip") for f in context._jsc.sc().listFiles().mkString("\n").split("\n")):
         root = Path(__file__).resolve().parent
