@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specweave.operators.components import connected_components
-from specweave.runtime import materialize
+from specweave.runtime import materialize, tidy
 
 #: Rows that the cells are fitted on, mean vectors to a cell, most cells, and members compared in one task.
 FIT_ROWS, PER_CELL, MOST_CELLS, BLOCK = 20_000, 200, 2048, 2048
@@ -123,7 +123,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, id_column: str = "vec_
             yield batch.append_column("cells", pa.array(found, pa.list_(pa.int32())))
 
     kind = dict(classes.dtypes)["embedding"]
-    placed = classes.select("cid", "n", "embedding").mapInArrow(assign, f"cid long, n long, embedding {kind}, cells array<int>")
+    placed = classes.select("cid", "n", "embedding").mapInArrow(tidy(assign), f"cid long, n long, embedding {kind}, cells array<int>")
     placed = placed.withColumn("d", F.size("embedding")).withColumn("cell", F.explode("cells"))
     placed = materialize(placed, "cells")
     blocks = placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

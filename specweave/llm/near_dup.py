@@ -8,8 +8,8 @@ it puts far below the threshold go. What is left is confirmed on full sets.
 Texts with one shingle set form a class that is compared once. In a band
 bucket, members are first compared with the smallest one only, which links a
 group of copies by as many pairs as it has members; buckets whose members
-then still lie in different components are compared in blocks, across
-components only and on full sets. No such pair that shares a bucket is left
+aren't all known to be linked by that are compared in blocks, on full sets
+and across the components known so far only. No such pair that shares a bucket is left
 out, and pairs are not written down: a block gives its confirmed links.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specweave.llm import words
-from specweave.operators.components import connected_components
-from specweave.runtime import materialize
+from specweave.operators.components import connected_components, contracted
+from specweave.runtime import materialize, tidy
 
 SAMPLES, BITS = 256, 1024
 BANDS, ROWS = 24, 5
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     most = most_odd_bits(float(threshold))
-    signed = materialize(docs.mapInArrow(_signatures(width, "doc_id", "text"), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"), "signatures")
+    signed = materialize(docs.mapInArrow(tidy(_signatures(width, "doc_id", "text")), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"), "signatures")
     rows = signed.where("doc_id is not null and n_shingles > 0")
     classes = materialize(rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
@@ -226,14 +226,16 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width
     odd = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near_size = F.least("n_a", "n_b") * threshold.denominator >= F.greatest("n_a", "n_b") * threshold.numerator
     checked = materialize(pairs.join(side("b"), "b").join(side("a"), "a").where(near_size & (odd <= most)).select("a", "b").distinct(), "pairs")
-    links = materialize(_confirm(checked, docs, threshold, width), "links")
+    links = _confirm(checked, docs, threshold, width)
 
     # A document whose rows differ stands in several classes, which it links.
     repeated = rows.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("doc_id")
     same = rows.join(repeated, "doc_id").join(classes.select("s1", "s2", "doc"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
-    links = links.union(same)
-    component = connected_components(links)
-    placed = materialize(classes.join(component, classes.doc == component.node, "left").select("doc", "n_shingles", "bands", "sketch", F.coalesce("component", "doc").alias("comp")), "placed")
+    links = materialize(links.union(same), "links")
+
+    # Documents of one ``comp`` are linked already; some that are linked have different ones and are compared for nothing.
+    near = contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).groupBy("u").agg(F.min("v").alias("comp"))
+    placed = materialize(classes.join(near, classes.doc == near.u, "left").select("doc", "n_shingles", "bands", "sketch", F.coalesce("comp", "doc").alias("comp")), "placed")
     exploded = placed.select("doc", "comp", "n_shingles", F.explode("bands").alias("band"))
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int")
     mixed = exploded.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), blocks.alias("blocks")).where("x <> y and n > 2").select("band", "blocks")
@@ -244,8 +246,8 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width
         dealt = held.select("doc", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = dealt.select("doc", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
         dealt = dealt.join(placed.join(sets, placed.doc == sets.doc_id).drop("doc_id"), "doc")
-        more = materialize(dealt.groupBy("band", "p", "q").applyInArrow(_across_components(most, threshold), "a long, b long"), "links")
-        component = connected_components(links.union(more))
+        links = links.union(dealt.groupBy("band", "p", "q").applyInArrow(_across_components(most, threshold), "a long, b long"))
+    component = connected_components(links)
     of_class = classes.join(component, classes.doc == component.node, "left").select("s1", "s2", F.coalesce("component", "doc").alias("component"))
     out = signed.join(of_class, ["s1", "s2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -258,14 +260,14 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     and the few sets beyond them join with nothing later.
     """
     bitmap = _bitmap(wanted.toDF("doc_id"))
-    return materialize(docs.mapInArrow(_sets(width, bitmap), "doc_id long, shingles binary").where(F.length("shingles") > 0), "sets")
+    return materialize(docs.mapInArrow(tidy(_sets(width, bitmap)), "doc_id long, shingles binary").where(F.length("shingles") > 0), "sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, threshold: Fraction, width: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     sets = _full_sets(pairs.select("a").union(pairs.select("b")).distinct(), docs, width)
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(threshold), "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(tidy(_confirmed(threshold)), "a long, b long")
 
 
 def deduplicate(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width: int = 5) -> DataFrame:

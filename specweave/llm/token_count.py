@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specweave.llm import words
+from specweave.runtime import tidy
 
 SPACE = "▁"
 NO_RANK = np.int64(1 << 62)
@@ -213,4 +214,4 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, pa.array(count_batch(vocabulary, texts))], names=["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

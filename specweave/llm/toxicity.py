@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specweave.llm import words
+from specweave.runtime import tidy
 
 WINDOW, STRIDE = 64, 32
 HIDDEN, ATTENTION, DIM = 8, 8, 4
@@ -300,32 +301,33 @@ def fit_model(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest
 
     The sample takes rows that aren't held out, whose label is 0 or 1 and
     whose text has at most ``longest`` characters, in the order of a hash of
-    the id. It bounds what the one task that trains has to hold. Of rows that repeat an id, the
-    highest label and the first text count. Without labels of both kinds the
-    result is None.
+    the id. It bounds what the one task that trains has to hold. Of rows that
+    repeat an id, the highest label and the first text in order count.
+    Without labels of both kinds the result is None.
     """
     able = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~is_held_out("doc_id", 4, 2))
-    chosen, total = {}, {row["toxic"]: row["n"] for row in able.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    for kind in (0, 1):
-        chosen |= {row[0]: kind for row in able.where(F.col("toxic") == kind).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(2 * per_class).select("doc_id").collect()}
-    if not chosen:
+    total = {row["toxic"]: row["n"] for row in able.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
         return None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(chosen)) & (F.coalesce(F.length("text"), F.lit(0)) <= longest))
+    place = F.xxhash64(F.lit(11), "doc_id")
+    first = [able.where(F.col("toxic") == kind).orderBy(place, "doc_id").limit(2 * per_class) for kind in (0, 1)]
+    # At most 4 * per_class ids and labels, which every task can hold.
+    chosen = F.broadcast(first[0].unionByName(first[1]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
+    sample = rows.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).withColumn("place", place)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, str | None] = {}
-        for i, text in sorted((r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)), key=lambda r: (r[0], r[1] or "")):
-            texts.setdefault(i, text)
-        kept = [i for kind in (0, 1) for i in [i for i in chosen if i in texts and chosen[i] == kind][:per_class]]
-        toxic = np.array([chosen[i] for i in kept], float)
+        found = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("place", "doc_id", "toxic", "text")), strict=True))
+        kept = [r for kind in (0, 1) for r in [r for r in found if r[2] == kind][:per_class]]
+        toxic = np.array([r[2] for r in kept], float)
         model = None
         if 0 < toxic.sum() < len(toxic):
             share = {kind: total[kind] / (toxic == kind).sum() for kind in (0, 1)}
             weight = np.array([share[int(y)] for y in toxic])
-            model = Model().fit([texts[i] for i in kept], toxic, weight / weight.mean())
+            model = Model().fit([r[3] for r in kept], toxic, weight / weight.mean())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    return pickle.loads(rows.repartition(1).mapInArrow(train, "model binary").first()["model"])
+    return pickle.loads(sample.repartition(1).mapInArrow(tidy(train), "model binary").first()["model"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_class: int = 1500) -> DataFrame:
@@ -347,7 +349,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.3, per_cla
             score = np.zeros(batch.num_rows) if net is None else net.probability(net.scores(words.Ragged(batch.column("text"))))
             yield batch.append_column("score", pa.array(score))
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, text string, score double")
     return scored.select("doc_id", "text", is_held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
@@ -363,4 +365,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFram
             keep = np.ones(batch.num_rows, bool) if net is None else net.probability(net.scores(words.Ragged(batch.column("text")))) < cut
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
