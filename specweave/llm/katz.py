@@ -8,8 +8,13 @@ Tokens are packed into batches of texts. A batch sends each of its distinct
 words and bigrams once, with its training count, to the partition that the
 hash of the word or bigram names. The partition adds the batches' counts up
 and tells each batch the whole count of what it sent: so a frequent word or
-bigram costs a row a batch wherever it stands, and no task needs the model.
-Backoff weights are gathered and handed out in the same way, by context.
+bigram costs an entry a batch wherever it stands, and no task needs the model.
+
+A batch cuts what it sends into few parts. Where the corpus needs more
+partitions than that, the parts of several batches are merged, and what they
+merge to is sent on in the same way, by the next digit of the hash; counts
+come back along that path. The number of rows so grows with the corpus, and
+not with batches times partitions.
 """
 
 from __future__ import annotations
@@ -25,18 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specweave.llm import words
-from specweave.runtime import materialize
+from specweave.runtime import discard, materialize, tidy
 
 #: Counts up to this are discounted by Good-Turing's ratio.
 LARGEST_DISCOUNTED = 5
-#: Tokens for each partition of the count tables, and bytes of text to a batch.
-PARTITION_TOKENS, BATCH_BYTES = 1_000_000, 7 << 20
+#: Tokens for each partition of the count tables, bytes of text to a batch, and parts that a batch is cut into at most.
+PARTITION_TOKENS, BATCH_BYTES, FAN_OUT = 1_000_000, 9 << 20, 512
 
 _BEGIN, _END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 _BATCHES = "batch long, doc_id array<long>, held array<boolean>, counts array<int>, vocabulary binary, tokens binary, n_tokens long"
-_COUNTED = "batch long, kind int, p int, counts binary, first binary, totals array<long>"
+_SENT = "batch long, kind int, p long, keys binary, counts binary"
+_COUNTED = "batch long, kind int, p long, counts binary, first binary, totals array<long>"
+_MERGED = "merged long, batch long, kind int, p long, keys binary, counts binary, place binary"
 
 
 def _press(x: np.ndarray) -> bytes:
@@ -47,10 +54,23 @@ def _open(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about ``BATCH_BYTES`` of text."""
+    held, size = [], 0
+    for part in words.slices(batches, "text", BATCH_BYTES):
+        if held and size + part.nbytes > BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to token ids, the most frequent words first, so that ids press well."""
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    for k, batch in enumerate(words.slices(batches, "text", BATCH_BYTES)):
+    for k, batch in enumerate(_gather(batches)):
         ragged = words.Ragged(batch.column("text"))
         frequency = np.bincount(ragged.ids, minlength=len(ragged.words))
         order = np.argsort(-frequency, kind="stable")
@@ -96,11 +116,20 @@ class _Batch:
         return out
 
 
-def _shares(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys by partition, and where each partition's begin."""
+def _shares(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by part, the parts that there are, and where each begins."""
     p = (words.mix(keys + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(p, kind="stable")
-    return order, np.searchsorted(p[order], np.arange(parts + 1))
+    found, at = np.unique(p[order], return_index=True)
+    return order, found, np.append(at, len(keys))
+
+
+def _parts(batch: int, kind: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part that keys and their counts are cut into."""
+    order, found, at = _shares(keys, parts)
+    keys, counts = keys[order], counts[order]
+    cut = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch)), pa.array(np.full(len(found), kind, np.int32)), pa.array(found), pa.array([keys[lo:hi].tobytes() for lo, hi in cut], pa.binary()), pa.array([_press(counts[lo:hi]) for lo, hi in cut], pa.binary())], names=["batch", "kind", "p", "keys", "counts"])
 
 
 def _send(parts: int):
@@ -111,12 +140,8 @@ def _send(parts: int):
             trained, times = np.unique(b.pair[b.trains], return_counts=True)
             pair_counts = np.zeros(len(pairs), np.int64)
             pair_counts[np.searchsorted(pairs, trained)] = times
-            for kind, keys, counts in ((0, b.names, b.word_counts()), (1, pairs, pair_counts)):
-                order, at = _shares(keys, parts)
-                keys, counts = keys[order], counts[order].astype(np.uint32)
-                out = [(row["batch"], kind, p, keys[at[p] : at[p + 1]].tobytes(), _press(counts[at[p] : at[p + 1]])) for p in range(parts) if at[p + 1] > at[p]]
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "kind", "p", "keys", "counts"])
+            yield _parts(row["batch"], 0, b.names, b.word_counts(), parts)
+            yield _parts(row["batch"], 1, pairs, pair_counts, parts)
 
     return run
 
@@ -127,6 +152,21 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+def _sent(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys and counts of all rows end to end, and where each row's begin."""
+    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+    counts = np.concatenate([_open(c, np.int64) for c in table.column("counts").to_pylist()])
+    return np.concatenate(keys), counts, np.cumsum([0, *map(len, keys)])
+
+
+def _first(place: np.ndarray, trained: np.ndarray) -> np.ndarray:
+    """Marks the first trained entry at each place."""
+    out = np.zeros(len(place), bool)
+    at = np.flatnonzero(trained)
+    out[at[np.unique(place[at], return_index=True)[1]]] = True
+    return out
+
+
 def _add_up(table: pa.Table) -> pa.Table:
     """Whole counts of a partition's keys, for each batch that sent them.
 
@@ -135,28 +175,96 @@ def _add_up(table: pa.Table) -> pa.Table:
     """
     table = table.sort_by("batch")
     kind, p = table.column("kind")[0].as_py(), table.column("p")[0].as_py()
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    counts = np.concatenate([_open(c, np.uint32) for c in table.column("counts").to_pylist()]).astype(np.int64)
-    size = np.cumsum([0, *map(len, keys)])
-    unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-    whole = np.bincount(place, counts, len(unique)).astype(np.int64)
-    first = np.zeros(len(place), bool)
-    sent = np.flatnonzero(counts > 0)
-    first[sent[np.unique(place[sent], return_index=True)[1]]] = True
+    keys, counts, size = _sent(table)
+    unique, place = np.unique(keys, return_inverse=True)
+    whole = np.zeros(len(unique), np.int64)
+    np.add.at(whole, place, counts)
+    first = _first(place, counts > 0)
     begins = int(whole[np.searchsorted(unique, _BEGIN)]) if kind == 0 and np.isin(_BEGIN, unique) else 0
     totals = [int((whole == r).sum()) for r in range(1, LARGEST_DISCOUNTED + 2)] + [int((whole > 0).sum()) - (begins > 0), int(whole.sum()) - begins]
-    back = whole[place].astype(np.uint32)
-    n = len(keys)
+    back = whole[place]
+    n = table.num_rows
+    cut = list(zip(size[:-1].tolist(), size[1:].tolist(), strict=True))
     return pa.table({
         "batch": pa.array([*table.column("batch").to_pylist(), None], pa.int64()),
         "kind": pa.array([kind] * (n + 1), pa.int32()),
-        "p": pa.array([p] * (n + 1), pa.int32()),
-        "counts": pa.array([*(_press(back[lo:hi]) for lo, hi in zip(size[:-1], size[1:], strict=True)), None], pa.binary()),
-        "first": pa.array([*(np.packbits(first[lo:hi]).tobytes() for lo, hi in zip(size[:-1], size[1:], strict=True)), None], pa.binary()),
+        "p": pa.array([p] * (n + 1), pa.int64()),
+        "counts": pa.array([*(_press(back[lo:hi]) for lo, hi in cut), None], pa.binary()),
+        "first": pa.array([*(np.packbits(first[lo:hi]).tobytes() for lo, hi in cut), None], pa.binary()),
         "totals": pa.array([*[None] * n, totals], pa.list_(pa.int64())),
     })
 
 
+def _merge(groups: int, parts: int):
+    """Merge one part of several batches; cut what they merge to by the next digit.
+
+    Gives the rows to send on, under the number ``merged``, and for each row
+    that went in the place of its keys among those.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("batch")
+        kind, p, group = (table.column(c)[0].as_py() for c in ("kind", "p", "group"))
+        number = (p * groups + group) * 2 + kind
+        keys, counts, size = _sent(table)
+        unique, place = np.unique(keys, return_inverse=True)
+        whole = np.zeros(len(unique), np.int64)
+        np.add.at(whole, place, counts)
+        on = _parts(number, kind, unique, whole, parts)
+        at = np.empty(len(unique), np.int64)
+        at[_shares(unique, parts)[0]] = np.arange(len(unique))
+        place = (at[place] << 1) + (counts > 0)
+        on = pa.table({"merged": on.column("batch"), "batch": pa.nulls(on.num_rows, pa.int64()), "kind": on.column("kind"), "p": on.column("p"), "keys": on.column("keys"), "counts": on.column("counts"), "place": pa.nulls(on.num_rows, pa.binary())})
+        n = table.num_rows
+        went = pa.table({"merged": pa.array([number] * n, pa.int64()), "batch": table.column("batch"), "kind": pa.array([kind] * n, pa.int32()), "p": pa.array([p] * n, pa.int64()), "keys": pa.nulls(n, pa.binary()), "counts": pa.nulls(n, pa.binary()), "place": pa.array([_press(place[lo:hi]) for lo, hi in zip(size[:-1], size[1:], strict=True)], pa.binary())})
+        return pa.concat_tables([on, went])
+
+    return run
+
+
+def _unmerge(went: pa.Table, back: pa.Table) -> pa.Table:
+    """What came back for a merged row, for each row that went into it."""
+    went, back = went.sort_by("batch"), back.sort_by("p")
+    parts = [_open(c, np.int64) for c in back.column("counts").to_pylist()]
+    counts = np.concatenate(parts)
+    first = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[: len(c)].astype(bool) for f, c in zip(back.column("first").to_pylist(), parts, strict=True)])
+    places = [_open(x, np.int64) for x in went.column("place").to_pylist()]
+    size = np.cumsum([0, *map(len, places)])
+    flat = np.concatenate(places)
+    place, trained = flat >> 1, flat & 1 > 0
+    first = _first(place, trained) & first[place]
+    cut = list(zip(size[:-1].tolist(), size[1:].tolist(), strict=True))
+    n = went.num_rows
+    return pa.table({"batch": went.column("batch"), "kind": went.column("kind"), "p": went.column("p"), "counts": pa.array([_press(counts[place[lo:hi]]) for lo, hi in cut], pa.binary()), "first": pa.array([np.packbits(first[lo:hi]).tobytes() for lo, hi in cut], pa.binary()), "totals": pa.nulls(n, pa.list_(pa.int64()))})
+
+
+def _fans(parts: int, most: int) -> list[int]:
+    """Numbers of parts, each a multiple of the one before by at most ``most``, the last of them at least ``parts``."""
+    steps = 1
+    while most**steps < parts:
+        steps += 1
+    fan = next(f for f in range(1, most + 1) if f**steps >= parts)
+    return [fan ** (k + 1) for k in range(steps)]
+
+
+def _counted(sent: DataFrame, fans: list[int], batches: int) -> DataFrame:
+    """Each sent row's whole counts and marks, and the totals of each partition, as ``_COUNTED``.
+
+    ``batches`` bounds the rows of one part and kind, of which as many are
+    merged as the next step cuts parts from each.
+    """
+    if len(fans) == 1:
+        return sent.groupBy("kind", "p").applyInArrow(_add_up, _COUNTED)
+    groups = max(1, -(-batches * fans[0] // fans[1]))
+    grouped = sent.withColumn("group", F.pmod(F.xxhash64("batch"), F.lit(groups)).cast("long"))
+    merged = materialize(grouped.groupBy("kind", "p", "group").applyInArrow(_merge(groups, fans[1]), _MERGED), "merged")
+    on = merged.where("place is null").select(F.col("merged").alias("batch"), "kind", "p", "keys", "counts")
+    back = materialize(_counted(on, fans[1:], groups), "merged_counts")
+    went = merged.where("place is not null").select("merged", "batch", "kind", "p", "place")
+    each = went.groupBy("merged").cogroup(back.where("batch is not null").select(F.col("batch").alias("merged"), "p", "counts", "first").groupBy("merged"))
+    return each.applyInArrow(_unmerge, _COUNTED).unionByName(back.where("totals is not null"))
+
+
 def smoothed(n: list[int]) -> np.ndarray | None:
     """Counts of counts on the line of log n_r by log r (Simple Good-Turing).
 
@@ -209,92 +317,74 @@ def kept(count: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return np.where(count > LARGEST_DISCOUNTED, count - LARGEST_DISCOUNTED * (1 - ratio[-1]), low * ratio[low])
 
 
-def _gathered(blobs: list[dict], kind: int, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and marks of a batch's keys, from what the partitions sent back."""
-    order, at = _shares(keys, parts)
+def _gathered(back: pa.Table, kind: int, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and marks of a batch's keys, from what came back."""
+    order, found, at = _shares(keys, parts)
     counts, first = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    for blob in blobs:
-        if blob["kind"] == kind:
-            where = order[at[blob["p"]] : at[blob["p"] + 1]]
-            counts[where] = _open(blob["counts"], np.uint32)
-            first[where] = np.unpackbits(np.frombuffer(blob["first"], np.uint8))[: len(where)].astype(bool)
+    begins = dict(zip(found.tolist(), zip(at[:-1], at[1:], strict=True), strict=True))
+    for k, p, c, f in zip(*(back.column(name).to_pylist() for name in ("kind", "p", "counts", "first")), strict=True):
+        if k == kind:
+            where = order[slice(*begins[p])]
+            counts[where] = _open(c, np.int64)
+            first[where] = np.unpackbits(np.frombuffer(f, np.uint8))[: len(where)].astype(bool)
     return counts, first
 
 
 def _evaluate(parts: int, ratio: np.ndarray, n_all: int, n_words: int):
     """Scores but for backoff weights; the contexts' sums and the weights wanted."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            b = _Batch(row)
-            known, _ = _gathered(row["blobs"], 0, b.names, parts)
-            pairs, place = np.unique(b.pair, return_inverse=True)
-            seen, first = _gathered(row["blobs"], 1, pairs, parts)
-            p_word = (known + 0.5) / (n_all + 0.5 * (n_words + 1))
-            one = np.zeros(len(pairs), np.int64)
-            one[place] = np.arange(len(place))
-            left, right = b.context[one], b.token[one]
-            p_seen = np.where(seen > 0, kept(seen, ratio) / np.maximum(known[left], 1), 0)
-            with np.errstate(divide="ignore"):
-                event = np.where(seen > 0, np.log10(p_seen), np.log10(p_word[right]))
-            weighted = (seen == 0) & (known[left] > 0)
-            base = np.bincount(b.doc, np.log10(p_word)[b.token], b.texts)
-            score = np.bincount(b.doc, event[place], b.texts)
-            tokens, hits = np.bincount(b.doc, minlength=b.texts), np.bincount(b.doc, known[b.token] > 0, b.texts).astype(np.int64)
-            doc_part = {"batch": row["batch"], "kind": 0, "doc_id": row["doc_id"], "held": row["held"], "n_tokens": tokens, "n_known": hits, "base": base, "score": score}
-            # Contexts' sums over the bigrams that this batch answers for.
-            own = np.flatnonzero(first)
-            mass, lower = np.bincount(left[own], p_seen[own], len(b.names)), np.bincount(left[own], p_word[right[own]], len(b.names))
-            gives = np.bincount(left[own], minlength=len(b.names)) > 0
-            # Events that wait for a weight, by context and text.
-            event_at = np.flatnonzero(weighted[place])
-            waits, times = np.unique(b.context[event_at] * np.int64(max(1, b.texts)) + b.doc[event_at], return_counts=True)
-            wanted, which = np.unique(waits // max(1, b.texts), return_inverse=True)
-            doc_part |= {"waits": _press(np.stack([which, waits % max(1, b.texts), times]).astype(np.int32))}
-            out = [doc_part]
-            asks = np.zeros(len(b.names), bool)
-            asks[wanted] = True
-            places = np.flatnonzero(gives | asks)
-            order, at = _shares(b.names[places], parts)
-            places = places[order]
-            for p in range(parts):
-                here = places[at[p] : at[p + 1]]
-                if len(here):
-                    g, a = here[gives[here]], here[asks[here]]
-                    out.append({"batch": row["batch"], "kind": 1, "p": p, "gives": b.names[g].tobytes(), "mass": mass[g].tobytes(), "lower": lower[g].tobytes(), "asks": b.names[a].tobytes(), "asked": np.searchsorted(wanted, a).astype(np.int32).tobytes()})
-            yield pa.RecordBatch.from_pylist(out, schema=_PARTIAL)
+    def run(table: pa.Table, back: pa.Table) -> pa.Table:
+        row = table.to_pylist()[0]
+        b = _Batch(row)
+        known, _ = _gathered(back, 0, b.names, parts)
+        pairs, one, place = np.unique(b.pair, return_index=True, return_inverse=True)
+        seen, first = _gathered(back, 1, pairs, parts)
+        p_word = (known + 0.5) / (n_all + 0.5 * (n_words + 1))
+        left, right = b.context[one], b.token[one]
+        p_seen = np.where(seen > 0, kept(seen, ratio) / np.maximum(known[left], 1), 0)
+        with np.errstate(divide="ignore"):
+            event = np.where(seen > 0, np.log10(p_seen), np.log10(p_word[right]))
+        weighted = (seen == 0) & (known[left] > 0)
+        base = np.bincount(b.doc, np.log10(p_word)[b.token], b.texts)
+        score = np.bincount(b.doc, event[place], b.texts)
+        tokens, hits = np.bincount(b.doc, minlength=b.texts), np.bincount(b.doc, known[b.token] > 0, b.texts).astype(np.int64)
+        # Events that wait for a weight, by context and text.
+        event_at = np.flatnonzero(weighted[place])
+        waits, times = np.unique(b.context[event_at] * np.int64(max(1, b.texts)) + b.doc[event_at], return_counts=True)
+        wanted, which = np.unique(waits // max(1, b.texts), return_inverse=True)
+        texts = {"doc_id": row["doc_id"], "held": row["held"], "n_tokens": tokens, "n_known": hits, "base": base, "score": score, "waits": _press(np.stack([which, waits % max(1, b.texts), times]).astype(np.int32))}
+        # Contexts' sums over the bigrams that this batch answers for.
+        own = np.flatnonzero(first)
+        mass, lower = np.bincount(left[own], p_seen[own], len(b.names)), np.bincount(left[own], p_word[right[own]], len(b.names))
+        gives = np.bincount(left[own], minlength=len(b.names)) > 0
+        asked = np.full(len(b.names), -1, np.int32)
+        asked[wanted] = np.arange(len(wanted))
+        at = np.flatnonzero(gives | (asked >= 0))
+        # One row for the texts, then one for each context.
+        head = {"context": b.names[at].view(np.int64), "mass": mass[at].astype(np.float64), "lower": lower[at].astype(np.float64), "asked": asked[at]}
+        head = {k: pa.concat_arrays([pa.nulls(1, pa.array(v).type), pa.array(v)]) for k, v in head.items()}
+        tail = {f.name: pa.concat_arrays([pa.array([texts[f.name]], f.type), pa.nulls(len(at), f.type)]) for f in _TEXTS}
+        return pa.table({"batch": pa.array(np.full(1 + len(at), row["batch"]))} | head | tail)
 
     return run
 
 
-_PARTIAL = pa.schema([("batch", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64())), ("waits", pa.binary()), ("p", pa.int32()), ("gives", pa.binary()), ("mass", pa.binary()), ("lower", pa.binary()), ("asks", pa.binary()), ("asked", pa.binary())])
-_PARTIAL_SQL = "batch long, kind int, doc_id array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>, waits binary, p int, gives binary, mass binary, lower binary, asks binary, asked binary"
-
-
-def _weights(table: pa.Table) -> pa.Table:
-    """Backoff weights of a partition's contexts, for each batch that asks."""
-    column = lambda c, kind: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()]
-    gives, mass, lower = (np.concatenate(column(c, k)) for c, k in (("gives", np.uint64), ("mass", np.float64), ("lower", np.float64)))
-    names, place = np.unique(gives, return_inverse=True)
-    seen, below = np.bincount(place, mass, len(names)), np.bincount(place, lower, len(names))
-    weight = np.log10(np.maximum(1 - seen, 1e-300)) - np.log10(np.maximum(1 - below, 1e-300)) if len(names) else seen
-    asks = column("asks", np.uint64)
-    return pa.table({"batch": table.column("batch"), "asked": table.column("asked"), "weights": pa.array([weight[np.searchsorted(names, a)].tobytes() for a in asks], pa.binary())})
+_TEXTS = pa.schema([("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("score", pa.list_(pa.float64())), ("waits", pa.binary())])
+_PARTIAL = "batch long, context long, mass double, lower double, asked int, doc_id array<long>, held array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, score array<double>, waits binary"
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for row in _rows(batches):
-        score = np.array(row["score"], np.float64)
-        which, doc, times = _open(row["waits"], np.int32).reshape(3, -1)
-        if len(which):
-            weight = np.zeros(int(which.max()) + 1)
-            for blob in row["blobs"] or []:
-                weight[np.frombuffer(blob["asked"], np.int32)] = np.frombuffer(blob["weights"], np.float64)
-            score += np.bincount(doc, weight[which] * times, len(score))
-        yield pa.RecordBatch.from_arrays([pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(row["n_tokens"], pa.int64()), pa.array(row["n_known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+def _finish(texts: pa.Table, weights: pa.Table) -> pa.Table:
+    row = texts.to_pylist()[0]
+    score = np.array(row["score"], np.float64)
+    which, doc, times = _open(row["waits"], np.int32).reshape(3, -1)
+    if len(which):
+        weight = np.zeros(int(which.max()) + 1)
+        weight[weights.column("asked").to_numpy()] = weights.column("weight").to_numpy()
+        score += np.bincount(doc, weight[which] * times, len(score))
+    return pa.table({"doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(row["n_tokens"], pa.int64()), "n_known": pa.array(row["n_known"], pa.int64()), "base_score": pa.array(row["base"], pa.float64()), "score": pa.array(score)})
 
 
-def katz_scores(docs: DataFrame) -> DataFrame:
+def katz_scores(docs: DataFrame, partition_tokens: int = PARTITION_TOKENS, fan_out: int = FAN_OUT) -> DataFrame:
     """Return each row's ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Tokens are the words of the whole text, A-Z lower-cased, and one end.
@@ -302,6 +392,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     the log10 probability under the backoff model, of all tokens and the
     end. A word outside the training texts is one unknown outcome, so that
     each context's probabilities over the V known words and it sum to one.
+    Words and bigrams are known by 64-bit hashes.
 
     A text is held out when crc32 of its id as text, mod 5, is 1; a null id
     is not. A null text is empty and has an end only. Repeated rows train
@@ -309,19 +400,22 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     every outcome has probability 1; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = materialize(rows.mapInArrow(_pack, _BATCHES), "tokens")
-    parts = max(8, -(-(packed.agg(F.sum("n_tokens")).first()[0] or 0) // PARTITION_TOKENS))
-    sent = packed.mapInArrow(_send(parts), "batch long, kind int, p int, keys binary, counts binary")
-    counted = materialize(sent.groupBy("kind", "p").applyInArrow(_add_up, _COUNTED), "counts")
+    packed, batches = materialize(rows.mapInArrow(tidy(_pack), _BATCHES), "tokens", counted=True)
+    fans = _fans(max(8, -(-(packed.agg(F.sum("n_tokens")).first()[0] or 0) // partition_tokens)), fan_out)
+    counted = materialize(_counted(packed.mapInArrow(tidy(_send(fans[0])), _SENT), fans, batches), "counts")
     size = LARGEST_DISCOUNTED + 3
     sums = {r["kind"]: r["t"] for r in counted.where("totals is not null").groupBy("kind").agg(F.array(*[F.sum(F.col("totals")[k]) for k in range(size)]).alias("t")).collect()}
     n_words, n_all = sums.get(0, [0] * size)[-2:]
     ratio = discounts(sums.get(1, [0] * size)[: LARGEST_DISCOUNTED + 1])
 
-    back = counted.where("batch is not null").groupBy("batch").agg(F.collect_list(F.struct("kind", "p", "counts", "first")).alias("blobs"))
-    partial = materialize(packed.join(back, "batch").mapInArrow(_evaluate(parts, ratio, n_all, n_words), _PARTIAL_SQL), "partial")
-    weights = partial.where("kind = 1").select("batch", "p", "gives", "mass", "lower", "asks", "asked").groupBy("p").applyInArrow(lambda t: _weights(t), "batch long, asked binary, weights binary")
-    weights = weights.where(F.length("weights") > 0).groupBy("batch").agg(F.collect_list(F.struct("asked", "weights")).alias("blobs"))
-    scored = partial.where("kind = 0").select("batch", "doc_id", "held", "n_tokens", "n_known", "base", "score", "waits").join(weights, "batch", "left")
-    scored = scored.mapInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    back = counted.where("totals is null").select("batch", "kind", "p", "counts", "first")
+    partial = packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_evaluate(fans[0], ratio, n_all, n_words), _PARTIAL)
+    partial = materialize(partial, "partial")
+    discard(packed, counted)
+    contexts = partial.where("context is not null")
+    seen, below = (F.log10(F.greatest(1 - F.sum(c), F.lit(1e-300))) for c in ("mass", "lower"))
+    weights = contexts.groupBy("context").agg((seen - below).alias("weight"))
+    wanted = contexts.where("asked >= 0").select("batch", "asked", "context").join(weights, "context").select(F.col("batch").alias("to"), "asked", "weight")
+    scored = partial.where("context is null").drop("context", "mass", "lower", "asked").groupBy("batch").cogroup(wanted.groupBy("to"))
+    scored = scored.applyInArrow(_finish, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

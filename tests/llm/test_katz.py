@@ -4,9 +4,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from specweave.llm.katz import LARGEST_DISCOUNTED, discounts, kept, katz_scores, smoothed
+from specweave.llm.katz import LARGEST_DISCOUNTED, _add_up, _fans, _open, _parts, discounts, kept, katz_scores, smoothed
 
 
 def brute(rows):
@@ -52,6 +53,23 @@ def test_scores_equal_brute_force_and_sum_to_one(spark):
         assert a[5:] == pytest.approx(b[5:], abs=1e-8)
 
 
+def test_parts_merged_over_several_steps_change_no_score(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x)}" for x in r.zipf(1.5, r.integers(0, 50)) % 90)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    want = {x.doc_id: x for x in katz_scores(docs).collect()}
+    assert _fans(60, 3) == [3, 9, 27, 81] and _fans(8, 512) == [8] and _fans(600, 512) == [25, 625]
+    for x in katz_scores(docs, partition_tokens=40, fan_out=3).collect():
+        assert tuple(x)[:5] == tuple(want[x.doc_id])[:5] and tuple(x)[5:] == pytest.approx(tuple(want[x.doc_id])[5:], abs=1e-9)
+
+
+def test_counts_beyond_32_bits():
+    keys = np.array([5, 9], np.uint64)
+    sent = pa.Table.from_batches([_parts(b, 1, keys, np.array([3 << 32, 1], np.int64), 1) for b in (1, 2)])
+    out = _add_up(sent).to_pylist()
+    assert _open(out[0]["counts"], np.int64).tolist() == [6 << 32, 2] and out[-1]["totals"][-1] == (6 << 32) + 2
+
+
 def test_empty_table_and_no_training(spark):
     assert katz_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5 == 1)
