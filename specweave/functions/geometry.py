@@ -89,10 +89,62 @@ def local_axis(width: float, step: float, margin: float = 0.0, start: float | No
     return [first + k * step for k in range(n)]
 
 
-def pixels_across(width: float, step: float) -> int:
+def pixels_across(width: float, axis: list[float]) -> int:
+    """Samples of an axis across a centred width.
+
+    The step is the difference of the first two samples as floating point has
+    it, so that a width that is a whole number of steps may take one more at
+    either end: in degrees, 4.0 arc seconds on steps of 0.025 are 162.
+    """
+    step = axis[1] - axis[0]
     return math.ceil(width / 2 / step) - math.floor(-width / 2 / step)
 
 
+def columns_across(width: float, axis: list[float]) -> int:
+    return math.ceil(width / (axis[1] - axis[0]))
+
+
+def detector_shapes(spark: SparkSession, step: float = 0.025, margin: int = 5) -> DataFrame:
+    """(chan, factor, pixels, samples, columns) of each band's slits: one row a band.
+
+    The super-resolution factor, the local grid's rows and columns across a
+    slit, and the detector's samples along it. ``step`` is in arc seconds;
+    axes are in degrees, which decides how their steps round.
+    """
+    rows = []
+    step = step / 3600
+    for band, (slits_, _, _, *widths, _, _) in BANDS.items():
+        pixel, alpha, beta = (w / 3600 for w in widths)
+        a, b = (local_axis(w, step, margin * step) for w in (alpha, beta))
+        factor, across = super_resolution(pixel, step), pixels_across(alpha, a)
+        rows.append((band, factor, across, math.ceil(across / factor), columns_across(beta / slits_, b)))
+    return spark.createDataFrame(rows, "chan string, factor int, pixels int, samples int, columns int")
+
+
+def view_of_all(pointings: DataFrame, fields: DataFrame, margin: float = 5.0) -> DataFrame:
+    """The box (alpha0, beta0, alpha1, beta1) around all fields at all pointings, as one row.
+
+    ``fields`` has each instrument's box (a0, a1, b0, b1) about its origin.
+    Fixed rules: the lower ends subtract the smallest pointing, and the upper
+    end along beta takes the smallest of the fields' ends.
+    """
+    p = pointings.agg(*[f(c).alias(f"{c}{n}") for c in ("alpha", "beta") for f, n in ((F.min, 0), (F.max, 1))])
+    f = fields.agg(F.min("a0").alias("a0"), F.max("a1").alias("a1"), F.min("b0").alias("b0"), F.min("b1").alias("b1"))
+    col = F.col
+    return f.join(p, F.lit(True)).select((col("a0") - col("alpha0") - margin).alias("alpha0"), (col("b0") - col("beta0") - margin).alias("beta0"), (col("a1") + col("alpha1") + margin).alias("alpha1"), (col("b1") + col("beta1") + margin).alias("beta1"))
+
+
+def field_box(alpha_width: Column, beta_width: Column, degrees, origin: tuple[Column, Column]) -> dict[str, Column]:
+    """The extents a0, a1, b0, b1 of a turned field."""
+    box = corners(alpha_width, beta_width, degrees, origin)
+    return {f"{n[0]}{k}": f(box[n]) for n in ("alpha", "beta") for f, k in ((F.array_min, 0), (F.array_max, 1))}
+
+
+def wavelength_properties(axis: Column) -> dict[str, Column]:
+    """First, last, step and number of an axis, an array."""
+    return {"wavel_min": axis[0], "wavel_max": F.element_at(axis, -1), "wavel_step": F.get(axis, F.lit(1)) - axis[0], "n_wavel": F.size(axis)}
+
+
 def axis_from_header(n: Column, reference: Column, step: Column, value: Column) -> Column:
     """(k + reference - 1) * step + value, for k from 0 to n - 1."""
     return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda k: (k + reference - 1) * step + value)
@@ -143,12 +195,14 @@ def gnomonic_sky(i: Column, j: Column, header: dict[str, float]) -> tuple[Column
     return alpha, F.degrees(F.atan2(F.sin(d0) + v * F.cos(d0), F.sqrt(u * u + base * base)))
 
 
-def fractional_slits(spark: SparkSession, alpha_axis: list[float], beta_axis: list[float], alpha_width: float, beta_width: float, n_slits: int) -> DataFrame:
+def fractional_slits(spark: SparkSession, alpha_axis: list[float], beta_axis: list[float], alpha_width: float, beta_width: float, n_slits: int, factor: int | None = None) -> DataFrame:
     """Weights (s, i, j, w) of the slits of a field on its local grid.
 
     A slit takes the samples whose cells it touches, at most as many columns
     as its width spans; of too many, the column farther beyond its own edge
-    goes. An edge column weighs the share of its cell in the slit where the
+    goes. With the super-resolution ``factor``, a slit of an even number of
+    detector samples below 28 is mended by a fixed rule: of more rows than
+    ``pixels_across`` the last goes, to fewer two are added at the beginning. An edge column weighs the share of its cell in the slit where the
     neighbouring slit has it too, and 1 where it does not. The tables are as
     long as the slits, built here and shipped.
     """
@@ -156,11 +210,16 @@ def fractional_slits(spark: SparkSession, alpha_axis: list[float], beta_axis: li
     touched = lambda axis, h, lo, hi: (min(k for k, x in enumerate(axis) if lo < x + h / 2), max(k for k, x in enumerate(axis) if x - h / 2 < hi) + 1)
     width = beta_width / n_slits
     rows = touched(alpha_axis, ha, -alpha_width / 2, alpha_width / 2)
+    if factor:
+        across = pixels_across(alpha_width, alpha_axis)
+        samples = math.ceil(across / factor)
+        if samples % 2 == 0 and samples < 28 and rows[1] - rows[0] != across:
+            rows = (rows[0], rows[1] - 1) if rows[1] - rows[0] > across else (max(0, rows[0] - 2), rows[1])
     edges = [(s * width - beta_width / 2, (s + 1) * width - beta_width / 2) for s in range(n_slits)]
     spans = []
     for lo, hi in edges:
         first, stop = touched(beta_axis, hb, lo, hi)
-        if stop - first > pixels_across(width, hb):
+        if stop - first > columns_across(width, beta_axis):
             beyond = abs(beta_axis[min(stop, len(beta_axis) - 1)] - hi) > abs(beta_axis[first] - lo)
             first, stop = (first, stop - 1) if beyond else (first + 1, stop)
         spans.append((first, stop))

@@ -6,26 +6,41 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave.schema import GridSpec
 
 
-def gaussian_psf(wavelength: float, step: float, diameter: float = 6.5, size: int = 40, reach: float = 30.0) -> np.ndarray:
-    """A normalised Gaussian whose full width at half maximum is wavelength over diameter."""
-    axis = np.linspace(-reach, reach, size) * step
-    sigma = wavelength / diameter / (2 * np.sqrt(2 * np.log(2)))
-    squared = axis[:, None] ** 2 + axis[None, :] ** 2
-    psf = np.exp(-squared / (2 * sigma**2)) if sigma else (squared == squared.min()).astype(float)
-    return psf / psf.sum()
+#: Arc seconds of a radian, and the full width at half maximum of a Gaussian over its deviation.
+ARC_SECONDS, HALF_MAXIMUM = 206265, 2.354
 
 
-def transfer_function(psf: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Real FFT of a point-spread function centred on pixel 0 of a larger grid."""
-    padded = np.zeros(shape)
-    padded[: psf.shape[0], : psf.shape[1]] = psf
-    return np.fft.rfft2(np.roll(padded, (-(psf.shape[0] // 2), -(psf.shape[1] // 2)), axis=(0, 1)))
+def gaussian_psf(wavelengths: DataFrame, step: float, diameter: float = 6.5, size: int = 40, reach: float = 30.0) -> DataFrame:
+    """Normalised Gaussians (l, x, y, w) for wavelengths (l, um) in micrometres.
+
+    The full width at half maximum is wavelength over diameter; ``step`` is
+    a pixel in arc seconds, and the grid has ``size`` samples a side, evenly
+    over ``reach`` pixels either way.
+    """
+    sigma = F.col("um") * 1e-6 / diameter * ARC_SECONDS / (step * HALF_MAXIMUM)
+    at = lambda c: F.lit(-reach) + F.col(c) * (2 * reach / (size - 1))
+    each = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    spread = wavelengths.withColumn("x", each).withColumn("y", each)
+    raw = spread.withColumn("_w", F.exp(-(at("x") * at("x") + at("y") * at("y")) / (2 * sigma * sigma)))
+    return raw.select("l", "x", "y", (F.col("_w") / F.sum("_w").over(Window.partitionBy("l"))).alias("w"))
+
+
+def transfer_function(psf: np.ndarray, shape: tuple[int, int], components: np.ndarray | None = None) -> np.ndarray:
+    """Real FFT of point-spread functions [..., x, y] centred on pixel 0 of a larger grid.
+
+    With ``components`` [K, wavelength], of each wavelength's function [l, x, y] weighted by each component: [K, l, ...].
+    """
+    if components is not None:
+        psf = psf[None] * components[:, :, None, None]
+    padded = np.zeros((*psf.shape[:-2], *shape))
+    padded[..., : psf.shape[-2], : psf.shape[-1]] = psf
+    return np.fft.rfft2(np.roll(padded, (-(psf.shape[-2] // 2), -(psf.shape[-1] // 2)), axis=(-2, -1)))
 
 
 def fft_blur(stacked: DataFrame, otf: np.ndarray, grid: GridSpec, transposed: bool = False) -> DataFrame:
@@ -46,6 +61,20 @@ def fft_blur(stacked: DataFrame, otf: np.ndarray, grid: GridSpec, transposed: bo
     return stacked.mapInArrow(run, "l int, plane array<double>")
 
 
+def fft_unmix(stacked: DataFrame, otf: np.ndarray, spectra: np.ndarray, grid: GridSpec) -> DataFrame:
+    """Maps (l = template, plane) of blurred planes: each batch blurs and mixes back in one pass, and sums by template meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("plane").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, grid.rows, grid.columns)
+            share = spectra[:, batch.column("l").to_numpy()]
+            y = np.fft.irfft2(np.tensordot(share, np.fft.rfft2(x) * otf, 1), s=(grid.rows, grid.columns)).reshape(len(share), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(share)), pa.int32()), pa.array(list(y), pa.list_(pa.float64()))], names=["l", "plane"])
+
+    parts = stacked.mapInArrow(run, "l int, plane array<double>").select("l", F.posexplode("plane").alias("k", "v")).groupBy("l", "k").agg(F.sum("v").alias("v"))
+    return parts.groupBy("l").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("plane"))
+
+
 def fourier_resample(pixels: DataFrame, samples: int) -> DataFrame:
     """Spectra of ``samples`` values by cutting off their high frequencies."""
 
@@ -72,9 +101,10 @@ def spectral_response(wavelengths: np.ndarray, detector: np.ndarray, beta: np.nd
     return w[:, margin:-margin]
 
 
-def one_hot_response(w: np.ndarray) -> np.ndarray:
-    """A response reduced to its largest wavelengths; ties are all 1."""
-    return (w == w.max(1, keepdims=True)).astype(float)
+def one_hot_response(wpsf: DataFrame) -> DataFrame:
+    """A response (lp, l, b, w) reduced to its largest wavelengths; ties are all 1."""
+    top = F.max("w").over(Window.partitionBy("lp", "b"))
+    return wpsf.select("lp", "l", "b", F.when(F.col("w") == top, 1).otherwise(0).alias("w"))
 
 
 def repair_low(pixels: DataFrame, least: float = 1e-2) -> DataFrame:

@@ -17,8 +17,8 @@ def mean_square_error(p: DataFrame) -> DataFrame:
 
 
 def relative_error(p: DataFrame) -> DataFrame:
-    """Squared error over squared norm of x, in per cent."""
-    return p.agg((100 * F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))) / F.sum(F.col("x") * F.col("x"))).alias("relative_error"))
+    """Squared error over squared norm of x, in per cent; null where x is 0."""
+    return p.agg(F.try_divide(100 * F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))), F.sum(F.col("x") * F.col("x"))).alias("relative_error"))
 
 
 def psnr(p: DataFrame) -> DataFrame:
@@ -34,7 +34,9 @@ def spectral_angle(p: DataFrame) -> DataFrame:
 
 
 def signal_to_noise(p: DataFrame) -> DataFrame:
-    return p.agg((10 * F.log10(F.sum(F.col("x") * F.col("x")) / F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))))).alias("snr"))
+    """Signal to noise in decibels; infinite without error, null where both are 0."""
+    s = p.agg(F.sum(F.col("x") * F.col("x")).alias("s"), F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("e"))
+    return s.select(F.when((F.col("e") == 0) & (F.col("s") > 0), F.lit(math.inf)).otherwise(10 * F.log10(F.try_divide("s", "e"))).alias("snr"))
 
 
 def structural_similarity(p: DataFrame, window: int = 7, span: float = 1.0) -> DataFrame:
@@ -56,7 +58,14 @@ def nonzero_mean(cube: DataFrame, value: str = "v") -> DataFrame:
 
 
 def mean_spectrum(cube: DataFrame, value: str = "v") -> DataFrame:
-    return cube.groupBy("l").agg(F.avg(value).alias("mean"))
+    """Mean of each plane, over the values that aren't NaN or null."""
+    return cube.groupBy("l").agg(F.avg(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))).alias("mean"))
+
+
+def gray(cube: DataFrame, value: str = "v") -> DataFrame:
+    """Planes 0, 1 and 2 (red, green, blue) as one; fixed weights of the luminance."""
+    weight = F.element_at(F.array(F.lit(0.2125), F.lit(0.7154), F.lit(0.0721)), F.col("l") + 1)
+    return cube.where("l < 3").groupBy("i", "j").agg(F.sum(F.col(value) * weight).alias("v"))
 
 
 def frobenius(p: DataFrame) -> DataFrame:
@@ -75,4 +84,5 @@ def centroids(labels: DataFrame) -> DataFrame:
 
 
 def relative_extremum(p: DataFrame) -> DataFrame:
-    return p.agg(((F.max("x") - F.max("y")) / F.max("x") * 100).alias("error"))
+    """Difference of the largest values in per cent of x's; null where that is 0."""
+    return p.agg((F.try_divide(F.max("x") - F.max("y"), F.max("x")) * 100).alias("error"))

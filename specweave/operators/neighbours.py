@@ -6,9 +6,11 @@ to the nine cells around its own, so that no pair beyond them is formed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specweave.runtime import materialize
+
 
 def _cell(c: str, size: float) -> Column:
     return F.floor(F.col(c) / size).cast("long")
@@ -35,13 +37,45 @@ def shepard(targets: DataFrame, samples: DataFrame, cutoff: float = 1.0, power:
 def nearest_on_axis(values: DataFrame, axis: DataFrame) -> DataFrame:
     """The index of the sample nearest to each value; the lowest of several.
 
-    ``axis`` (idx, x) is broadcast as one sorted array; a count of the
-    samples below finds the two candidates.
+    The intervals between samples of ``axis`` (idx, x) go to buckets of the
+    axis's mean step, so that a value meets those of its bucket only and is
+    in one of them; the nearer end of that is its sample. A null value gets
+    none.
+    """
+    ends = axis.agg(F.min("x").alias("x0"), F.max("x").alias("xn"), F.count("*").alias("n")).first()
+    if not ends.n:
+        return values.select("t", F.lit(None).cast("int").alias("idx"))
+    step = (ends.xn - ends.x0) / max(1, ends.n - 1) or 1.0
+    bucket = lambda x: F.greatest(F.lit(-1), F.least(F.lit(ends.n), F.floor((x - ends.x0) / step))).cast("long")
+    distinct = axis.groupBy("x").agg(F.min("idx").alias("idx"))
+    order = Window.orderBy("x")
+    inner = distinct.select(F.col("x").alias("lo"), F.col("idx").alias("lo_idx"), F.lead("x").over(order).alias("hi"), F.lead("idx").over(order).alias("hi_idx"))
+    first = distinct.orderBy("x").limit(1).select(F.lit(None).cast("double").alias("lo"), F.lit(None).cast("int").alias("lo_idx"), F.col("x").alias("hi"), F.col("idx").alias("hi_idx"))
+    pieces = inner.unionByName(first).select("*", F.explode(F.sequence(F.when(F.col("lo").isNull(), F.lit(-1).cast("long")).otherwise(bucket(F.col("lo"))), F.when(F.col("hi").isNull(), F.lit(ends.n).cast("long")).otherwise(bucket(F.col("hi"))))).alias("_bucket"))
+    inside = (F.col("lo").isNull() | (F.col("x") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("x") < F.col("hi")))
+    low, high = F.col("x") - F.col("lo"), F.col("hi") - F.col("x")
+    nearer = F.when(F.col("hi").isNull() | (low < high) | ((low == high) & (F.col("lo_idx") < F.col("hi_idx"))), F.col("lo_idx")).otherwise(F.col("hi_idx"))
+    found = values.withColumn("_bucket", bucket(F.col("x"))).join(pieces, "_bucket").where(inside)
+    known = found.select("t", nearer.cast("int").alias("idx"))
+    return known.unionByName(values.where("x is null").select("t", F.lit(None).cast("int").alias("idx")))
+
+
+def nearest_sample(targets: DataFrame, samples: DataFrame, radius: float) -> DataFrame:
+    """(t, id): the sample (id, sx, sy) nearest to each target (t, x, y), the lowest id of several.
+
+    Rings of growing radius are searched, so that the cost follows how far
+    the samples are. Distances that agree to nine decimals of their square
+    count as equal. Without samples no target has one.
     """
-    packed = axis.agg(F.array_sort(F.collect_list(F.struct("x", "idx"))).alias("_axis"))
-    d = lambda s: F.abs(s["x"] - F.col("x"))
-    best = F.aggregate("_axis", F.lit(None).cast("struct<d:double,idx:int>"), lambda s, a: F.when(s.isNull() | (d(a) < s["d"]) | ((d(a) == s["d"]) & (a["idx"] < s["idx"])), F.struct(d(a).alias("d"), a["idx"].cast("int").alias("idx"))).otherwise(s))
-    return values.join(F.broadcast(packed), F.lit(True)).select("t", best["idx"].alias("idx"))
+    samples, n = materialize(samples.select("id", "sx", "sy"), "samples", counted=True)
+    left, done = targets.select("t", "x", "y"), None
+    while n:
+        near = within_radius(left, samples, float(radius)).groupBy("t").agg(F.min_by("id", F.struct(F.round(F.col("d") * F.col("d"), 9), "id")).alias("id"))
+        found = materialize(near, "nearest")
+        done = found if done is None else done.unionByName(found)
+        left, n = materialize(left.join(found, "t", "left_anti"), "left", counted=True)
+        radius *= 4
+    return done if done is not None else targets.select("t", F.lit(None).cast("long").alias("id")).limit(0)
 
 
 def nearest_fill(grid: DataFrame, radius: int) -> DataFrame:

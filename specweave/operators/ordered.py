@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specweave.runtime import materialize
+
 
 def spectral_median(pixels: DataFrame, size: int) -> DataFrame:
     """Median of ``size`` samples (odd) along each spectrum; edges mirror, edge sample repeated."""
@@ -52,8 +54,49 @@ def upsample(rows: DataFrame, axis: str, factor: int) -> DataFrame:
 
 
 def thin(rows: DataFrame, keys: list[str], keep_of: int, seed: int = 1) -> DataFrame:
-    """A seeded thinning: one row in ``keep_of``, by a hash of its keys."""
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(keep_of)) == 0)
+    """A seeded thinning: one row in ``keep_of``, by the first 15 hex digits of an MD5 of its keys."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *keys).cast("binary"))
+    return rows.where(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % keep_of == 0)
+
+
+def reverse_blocks(rows: DataFrame, axis: str, size: int, blocks: int) -> DataFrame:
+    """Blocks of ``size`` samples in reverse order, each as it is."""
+    k = F.col(axis)
+    return rows.withColumn(axis, ((blocks - 1 - F.floor(k / size)) * size + k % size).cast("int"))
+
+
+def side_by_side(parts: list[tuple[DataFrame, int]], axis: str) -> DataFrame:
+    """Tables joined along an axis, each shifted by the lengths of those before it."""
+    out, start = None, 0
+    for part, length in parts:
+        moved = part.withColumn(axis, (F.col(axis) + start).cast("int"))
+        out = moved if out is None else out.unionByName(moved)
+        start += length
+    return out
+
+
+def into_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Pixels (i, j) as blocks of ``size`` a side: the block's place (bi, bj), and i and j within it."""
+    return rows.withColumns({"bi": F.floor(F.col("i") / size).cast("int"), "bj": F.floor(F.col("j") / size).cast("int"), "i": (F.col("i") % size).cast("int"), "j": (F.col("j") % size).cast("int")})
+
+
+def from_blocks(blocks: DataFrame, size: int) -> DataFrame:
+    return blocks.withColumns({"i": (F.col("bi") * size + F.col("i")).cast("int"), "j": (F.col("bj") * size + F.col("j")).cast("int")}).drop("bi", "bj")
+
+
+def ranked(rows: DataFrame, by: list[Column], name: str = "r") -> DataFrame:
+    """The rows with their place from 1 in the order of ``by``, in two levels.
+
+    The rows are cut into ranges by a sample of the whole order, so that
+    ties spread as well; each range counts its own, and running sums over
+    the few ranges give where it starts.
+    """
+    keyed = rows.withColumn("_by", F.struct(*by))
+    cut = materialize(keyed.repartitionByRange(F.col("_by")).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_by"))
+    return cut.withColumn("_own", own).join(starts, "_part").withColumn(name, F.col("_start") + F.col("_own")).select(*rows.columns, name)
 
 
 def running_offsets(sizes: DataFrame, order: str, size: str) -> DataFrame:

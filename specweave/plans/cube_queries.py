@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave import schema
@@ -210,97 +210,6 @@ def dot_identity(spark, d):
     return left.join(linear.dot(_adjoint(spark, d, y), c.drop("v"), ["l", "i", "j"], "v", "q").withColumnRenamed("dot", "hty_x"), F.lit(True))
 
 
-# The reference's composite model --------------------------------------------------
-
-#: Two channels: wavelengths, and two pointings (rows, columns) of their fields on the cube's grid.
-_CHANNELS = {"a": ((0, 40), ((0.25, 0.5), (0.75, 0.25))), "b": ((24, 64), ((0.5, 0.25), (0.0, 0.75)))}
-_BOX, _SLITS, _WIDTH = 3, 7, 3.4
-
-
-def _fields(spark, rows):
-    """(t, i, j, w) of each pointing: the field's samples t, 24 to a row, on the grid."""
-    t = spark.range((rows - 1) * (fx.COLUMNS - 1)).select(F.col("id").alias("t"), F.expr(f"id div {fx.COLUMNS - 1}").alias("a"), (F.col("id") % (fx.COLUMNS - 1)).alias("b"))
-    at = lambda alpha, beta: t.select("t", (F.col("a") + alpha).alias("x"), (F.col("b") + beta).alias("y"))
-    return lambda alpha, beta: linear.bilinear_weights(at(alpha, beta), 0.0, 1.0, rows, 0.0, 1.0, fx.COLUMNS)
-
-
-def _parts(spark, d):
-    """(channel, pointing, weights of S, weights of L, weights of R) for each observation."""
-    rows = fx.rows_of(spark, d)
-    fields = _fields(spark, rows)
-    slits = linear.slit_weights(spark, _SLITS, _WIDTH, rows - 1).where(f"j < {fx.COLUMNS - 1}")
-    for chan, ((first, last), pointings) in _CHANNELS.items():
-        response = fx.wpsf(spark).where((F.col("l") >= first) & (F.col("l") < last))
-        for p, at in enumerate(pointings):
-            yield chan, p, fields(*at), slits, response
-
-
-def sig_forward(spark, d, maps, templates):
-    """R box L S C T: maps (m, i, j, a) to detector samples (chan, p, s, lp, i, v) of all channels and pointings."""
-    g = _grid(spark, d)
-    blurred = linear.circular_blur(linear.mix_maps(maps, templates), fx.psf(spark), g)
-    out = None
-    for chan, p, field, slits, response in _parts(spark, d):
-        local = linear.grid_forward(blurred, field).select("l", F.expr(f"t div {fx.COLUMNS - 1}").cast("int").alias("i"), (F.col("t") % (fx.COLUMNS - 1)).cast("int").alias("j"), "v")
-        sliced = linear.slice_forward(local, slits).where(F.col("i") < _BOX * ((g.rows - 1) // _BOX))
-        boxed = sliced.groupBy("s", "l", F.expr(f"i div {_BOX}").cast("int").alias("i"), "j").agg(F.sum("v").alias("v"))
-        y = linear.apply_weights(boxed, response.withColumnRenamed("b", "j"), ["l", "j"], ["s", "lp", "i"]).select(F.lit(chan).alias("chan"), F.lit(p).alias("p"), "s", "lp", "i", "v")
-        out = y if out is None else out.unionByName(y)
-    return out
-
-
-def sig_adjoint(spark, d, y, templates):
-    """The exact adjoint of ``sig_forward``: samples of all channels and pointings to maps (m, i, j, a)."""
-    g = _grid(spark, d)
-    cube = None
-    for chan, p, field, slits, response in _parts(spark, d):
-        mine = y.where((F.col("chan") == chan) & (F.col("p") == p)).select("s", "lp", "i", "v")
-        boxed = linear.apply_weights(mine, response.withColumnRenamed("b", "j"), ["lp"], ["s", "l", "i", "j"])
-        sliced = boxed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_BOX - 1)))).select("s", "l", (F.col("i") * _BOX + F.col("k")).cast("int").alias("i"), "j", "v")
-        local = linear.slice_adjoint(sliced, slits).select("l", (F.col("i") * (fx.COLUMNS - 1) + F.col("j")).cast("long").alias("t"), "v")
-        part = linear.grid_adjoint(local, field)
-        cube = part if cube is None else cube.unionByName(part)
-    summed = cube.groupBy("l", "i", "j").agg(F.sum("v").alias("v"))
-    return linear.unmix_cube(linear.circular_blur(summed, fx.psf(spark), g, transposed=True), templates)
-
-
-def _model(spark, d):
-    c = fx.cube(spark, d)
-    t = materialize(fx.templates(c).select("m", "l", (F.col("t") / 1000.0).alias("t")), "templates")
-    return materialize(fx.maps(c).select("m", "i", "j", (F.col("a") / 1e6).alias("a")), "maps"), t
-
-
-def _samples(spark, d):
-    """Detector samples that don't come from the model: the cube's values, for each slit."""
-    n = (fx.rows_of(spark, d) - 1) // _BOX
-    y = fx.cube(spark, d).where(f"l < 32 and j < {_SLITS} and i < {n}").select(F.col("j").alias("s"), F.col("l").alias("lp"), "i", "v")
-    out = None
-    for chan, (_, pointings) in _CHANNELS.items():
-        for p in range(len(pointings)):
-            part = y.select(F.lit(chan).alias("chan"), F.lit(p).alias("p"), "s", "lp", "i", (F.col("v") + p + 1).alias("v"))
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
-@register("sig_forward_chain")
-def sig_forward_chain(spark, d):
-    return sig_forward(spark, d, *_model(spark, d))
-
-
-@register("sig_adjoint_chain")
-def sig_adjoint_chain(spark, d):
-    return sig_adjoint(spark, d, _samples(spark, d), _model(spark, d)[1])
-
-
-@register("sig_dot_identity")
-def sig_dot_identity(spark, d):
-    """The two sides of the dot test over all stages, channels and pointings."""
-    maps, t = _model(spark, d)
-    y = _samples(spark, d)
-    left = linear.dot(y, sig_forward(spark, d, maps, t), ["chan", "p", "s", "lp", "i"]).withColumnRenamed("dot", "y_hx")
-    return left.join(linear.dot(sig_adjoint(spark, d, y, t), maps, ["m", "i", "j"], "a", "a").withColumnRenamed("dot", "hty_x"), F.lit(True))
-
-
 # Ordered operators ------------------------------------------------------------
 
 def _diff_sql(axis: str, n: str, transposed: bool) -> str:
@@ -365,14 +274,17 @@ def channel_offsets(spark, d):
     return ordered.running_offsets(sizes, "label", "n")
 
 
-@register("random_thinning")
+@register("random_thinning", fx.sql("cube") + "SELECT l, i, j, q FROM cube WHERE CAST('0x' || substr(md5('1|' || l || '|' || i || '|' || j), 1, 15) AS BIGINT) % 4 = 0")
 def random_thinning(spark, d):
     return ordered.thin(fx.cube(spark, d).select("l", "i", "j", "q"), ["l", "i", "j"], 4)
 
 
-@register("fourier_resample")
+@register("fourier_resample", fx.sql("cube") + """, kernel AS (
+    SELECT m, l, (1 + 2 * sum(cos(2 * pi() * k * (m / 32.0 - l / 64.0))) FILTER (k BETWEEN 1 AND 15) + any_value(cos(2 * pi() * 16 * l / 64.0) * (1 - 2 * (m % 2)))) / 32 AS w
+    FROM range(0, 32) AS a(m), range(0, 64) AS b(l), range(1, 16) AS c(k) GROUP BY m, l)
+SELECT CAST(m AS INTEGER) AS l, i, j, round(sum(v * w), 6) + 0.0 AS v FROM cube JOIN kernel USING (l) GROUP BY m, i, j""")
 def fourier_resample(spark, d):
-    return schema.from_spectra(dense.fourier_resample(schema.spectra(fx.cube(spark, d)), 32))
+    return schema.from_spectra(dense.fourier_resample(schema.spectra(fx.cube(spark, d)), 32)).select("l", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 # Masks and regions -------------------------------------------------------------
@@ -470,9 +382,11 @@ for _name, _f, _sql in (
     register(_name, fx.sql("cube", "size") + _PAIR + f", s AS (SELECT {_sql} FROM p) SELECT " + ("round(norm, 6) AS norm, round(relative, 6) AS relative" if _name == "frobenius" else _out) + " FROM s")(_metric)
 
 
-@register("ssim")
+@register("ssim", fx.sql("cube", "size") + _PAIR + """, w AS (SELECT l, i + a AS i, j + b AS j, avg(x) AS mx, avg(y) AS my, avg(x * x) AS xx, avg(y * y) AS yy, avg(x * y) AS xy FROM p, range(-3, 4) AS u(a), range(-3, 4) AS v(b) GROUP BY ALL HAVING count(*) = 49
+), t AS (SELECT mx, my, 49 / 48.0 * (xx - mx * mx) AS vx, 49 / 48.0 * (yy - my * my) AS vy, 49 / 48.0 * (xy - mx * my) AS vxy FROM w)
+SELECT round(avg((2 * mx * my + 0.0001) * (2 * vxy + 0.0009) / ((mx * mx + my * my + 0.0001) * (vx + vy + 0.0009))), 6) AS ssim FROM t""")
 def ssim(spark, d):
-    return metrics.structural_similarity(_pair(spark, d))
+    return metrics.structural_similarity(_pair(spark, d)).select(F.round("ssim", 6).alias("ssim"))
 
 
 @register("nonzero_mean_spectrum", fx.sql("cube") + "SELECT l, round(coalesce(avg(nullif(q, 0)), 0), 6) AS mean FROM cube GROUP BY l")
@@ -490,11 +404,12 @@ def coverage_mean(spark, d):
     return metrics.coverage_mean(fx.cube(spark, d), 100, "q").withColumn("v", F.round("v", 6))
 
 
-@register("flux_to_total", fx.sql("cube", "slits") + "SELECT s, l, round(sum(q * w) * tw, 6) AS v FROM cube JOIN slits USING (j) JOIN (SELECT s, sum(w) AS tw FROM slits GROUP BY s) USING (s) GROUP BY s, l, tw")
+@register("flux_to_total", fx.sql("cube", "slits") + "SELECT s, l, round(sum(q * w) * tw * 3, 6) AS v FROM cube JOIN slits USING (j) JOIN (SELECT s, sum(w) AS tw FROM slits GROUP BY s) USING (s) GROUP BY s, l, tw")
 def flux_to_total(spark, d):
+    """Flux of each slit times its weights' sum and the super-resolution factor, 3."""
     slits = linear.slit_weights(spark, 7, 3.5, fx.rows_of(spark, d))
     total = slits.where("i = 0").groupBy("s").agg(F.sum("w").alias("tw"))
-    return linear.slice_forward(fx.cube(spark, d), slits, "q").groupBy("s", "l").agg(F.sum("v").alias("v")).join(F.broadcast(total), "s").select("s", "l", F.round(F.col("v") * F.col("tw"), 6).alias("v"))
+    return linear.slice_forward(fx.cube(spark, d), slits, "q").groupBy("s", "l").agg(F.sum("v").alias("v")).join(F.broadcast(total), "s").select("s", "l", F.round(F.col("v") * F.col("tw") * 3, 6).alias("v"))
 
 
 @register("distinct_labels", "SELECT count(DISTINCT label) AS n FROM embeddings")
@@ -688,15 +603,22 @@ def nearest_fill(spark, d):
     return neighbours.nearest_fill(g, 2)
 
 
-@register("line_profile")
+#: Bilinear weights (t, i, j, w) of targets inside the grid; {t} names their relation (t, x, y).
+INSIDE = """base AS (SELECT t, x, y, CAST(least(floor(x), n - 2) AS INTEGER) AS i0, CAST(least(floor(y), 23) AS INTEGER) AS j0 FROM {t}, size WHERE x >= 0 AND y >= 0 AND x <= n - 1 AND y <= 24
+), weights AS (SELECT t, i0 + a AS i, j0 + b AS j, (CASE WHEN a = 1 THEN x - i0 ELSE 1 - (x - i0) END) * (CASE WHEN b = 1 THEN y - j0 ELSE 1 - (y - j0) END) AS w FROM base, range(0, 2) AS p(a), range(0, 2) AS r(b))"""
+
+
+@register("line_profile", fx.sql("cube", "size") + ", targets AS (SELECT CAST(k AS INTEGER) AS t, 1 + k * ((n - 3) / 199.0) AS x, 2 + k * (19 / 199.0) AS y FROM range(0, 200) AS r(k), size), " + INSIDE.format(t="targets") + """, g AS (SELECT l, t, sum(v * w) AS v FROM cube JOIN weights USING (i, j) GROUP BY l, t)
+SELECT l, t, round(v / nullif(max(v) OVER (PARTITION BY l), 0), 6) + 0.0 AS v FROM g""")
 def line_profile(spark, d):
     n = fx.rows_of(spark, d)
-    return neighbours.line_profile(fx.cube(spark, d), (1.0, 2.0), (n - 2.0, 21.0), n, fx.COLUMNS, 200)
+    return neighbours.line_profile(fx.cube(spark, d), (1.0, 2.0), (n - 2.0, 21.0), n, fx.COLUMNS, 200).withColumn("v", F.round("v", 6) + 0.0)
 
 
-@register("rotate_cube")
+@register("rotate_cube", fx.sql("cube", "size") + """, targets AS (SELECT i * 25 + j AS t, cos(radians(-20)) * (i - (n - 1) / 2.0) + sin(radians(-20)) * (j - 12) + (n - 1) / 2.0 AS x, cos(radians(-20)) * (j - 12) - sin(radians(-20)) * (i - (n - 1) / 2.0) + 12 AS y FROM cube, size WHERE l = 0), """ + INSIDE.format(t="targets") + """
+SELECT l, CAST(t // 25 AS INTEGER) AS i, CAST(t % 25 AS INTEGER) AS j, round(sum(v * w), 6) + 0.0 AS v FROM cube JOIN weights USING (i, j) GROUP BY l, t""")
 def rotate_cube(spark, d):
-    return neighbours.rotate_cube(fx.cube(spark, d), -20.0, fx.rows_of(spark, d), fx.COLUMNS)
+    return neighbours.rotate_cube(fx.cube(spark, d), -20.0, fx.rows_of(spark, d), fx.COLUMNS).withColumn("v", F.round("v", 6) + 0.0)
 
 
 # Solvers -----------------------------------------------------------------------
@@ -705,12 +627,12 @@ def rotate_cube(spark, d):
 def cg_recover(spark, d):
     """Maps from a cube by ten conjugate-gradient steps."""
     c, g = fx.cube(spark, d), _grid(spark, d)
-    t = fx.templates(c).select("m", "l", (F.col("t") / 1000.0).alias("t"))
+    t = materialize(fx.templates(c).select("m", "l", (F.col("t") / 1000.0).alias("t")), "templates")
     forward = lambda x: linear.mix_maps(x.withColumnRenamed("v", "a"), t)
     adjoint = lambda y: linear.unmix_cube(y, t, "v").withColumnRenamed("a", "v")
     keys = ["m", "i", "j"]
-    right = adjoint(c.select("l", "i", "j", "v"))
-    return solvers.conjugate_gradient(solvers.quadratic_normal(forward, adjoint, keys, 1.0, 0.1, g.rows, g.columns), right, keys, 5)
+    right = materialize(adjoint(c.select("l", "i", "j", "v")), "right")
+    return solvers.conjugate_gradient(solvers.quadratic_normal(forward, adjoint, keys, 1.0, 0.1, g.rows, g.columns), right, keys, 10)
 
 
 @register("expsol")
@@ -727,7 +649,7 @@ def expsol(spark, d):
 @register("nmf")
 def nmf(spark, d):
     px = schema.spectra(fx.cube(spark, d).withColumn("v", selection.clean(F.col("v"))))
-    return solvers.non_negative_factors(px, 4, rounds=10)[0]
+    return solvers.non_negative_factors(px, 4)[0]
 
 
 @register("pca")
@@ -739,7 +661,7 @@ def pca(spark, d):
 
 @register("endmembers")
 def endmembers(spark, d):
-    found = solvers.endmembers(schema.spectra(fx.cube(spark, d)), 4, sweeps=1)
+    found = solvers.endmembers(schema.spectra(fx.cube(spark, d)), 4)
     return spark.createDataFrame([(k, r.i, r.j) for k, r in enumerate(found)], "k int, i int, j int")
 
 
@@ -757,6 +679,7 @@ def concat_channels(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@register("distance_order", "WITH " + _CUSTOMERS + "SELECT t, row_number() OVER (ORDER BY sqrt(a * a + b * b), t) AS r FROM pts WHERE t <= 1000000")
+@register("distance_order", "WITH " + _CUSTOMERS + "SELECT t, row_number() OVER (ORDER BY sqrt(a * a + b * b), t) AS r FROM pts")
 def distance_order(spark, d):
-    return _points(spark, d).select("t", F.row_number().over(Window.orderBy(F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b")), "t")).cast("long").alias("r"))
+    distance = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b"))
+    return ordered.ranked(_points(spark, d), [distance, F.col("t")]).select("t", F.col("r").cast("long").alias("r"))

@@ -96,12 +96,24 @@ def sky_gnomonic(spark, d):
     return fx.cube(spark, d).where("l = 0").select("i", "j", F.round(a, 6).alias("alpha"), F.round(b, 6).alias("beta"))
 
 
-@register("fractional_slits")
+@register("fractional_slits", """WITH p AS (SELECT CAST(0.05 AS DOUBLE) AS h, CAST(3.2 AS DOUBLE) AS fa, CAST(3.7 AS DOUBLE) AS fb, CAST(0.25 AS DOUBLE) AS m, CAST(3.7 AS DOUBLE) / 21 AS width
+), q AS (SELECT *, floor((-fa / 2 - m) / h) * h AS a0, floor((-fb / 2 - m) / h) * h AS b0 FROM p
+), al AS (SELECT k, a0 + k * h AS x, a0 + h - a0 AS step FROM q, range(0, 200) AS r(k) WHERE k < ceil((fa + 2 * m + (-fa / 2 - m) - a0) / h) + 1
+), be AS (SELECT k, b0 + k * h AS x, b0 + h - b0 AS step FROM q, range(0, 200) AS r(k) WHERE k < ceil((fb + 2 * m + (-fb / 2 - m) - b0) / h) + 1
+), rows AS (SELECT min(k) FILTER (-fa / 2 < x + step / 2) AS r0, max(k) FILTER (x - step / 2 < fa / 2) AS r1 FROM al, p
+), edge AS (SELECT s, s * width - fb / 2 AS lo, (s + 1) * width - fb / 2 AS hi FROM p, range(0, 21) AS r(s)
+), touched AS (SELECT s, lo, hi, width, any_value(step) AS step, min(k) FILTER (lo < x + step / 2) AS first, max(k) FILTER (x - step / 2 < hi) + 1 AS stop, max(k) AS last FROM edge, be, p GROUP BY ALL
+), trimmed AS (SELECT t.*, stop - first > ceil(width / t.step) AS wide, abs(u.x - hi) > abs(v.x - lo) AS beyond FROM touched t JOIN be u ON u.k = least(stop, last) JOIN be v ON v.k = first
+), span AS (SELECT s, lo, hi, step, first + CAST(wide AND NOT beyond AS INTEGER) AS first, stop - CAST(wide AND beyond AS INTEGER) AS stop FROM trimmed
+), near AS (SELECT *, lag(stop) OVER (ORDER BY s) - 1 = first AS shares_low, lead(first) OVER (ORDER BY s) = stop - 1 AS shares_high FROM span
+), w AS (SELECT s, k AS j, CASE WHEN k = stop - 1 AND x + n.step / 2 > hi AND coalesce(shares_high, true) THEN 1 - (x + n.step / 2 - hi) / n.step
+    WHEN k = first AND x - n.step / 2 < lo AND coalesce(shares_low, true) THEN 1 - (lo - x + n.step / 2) / n.step ELSE 1 END AS w FROM near n JOIN be ON k >= first AND k < stop)
+SELECT CAST(s AS INTEGER) AS s, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(w, 9) AS w FROM w, rows, range(0, 200) AS r(i) WHERE i BETWEEN r0 AND r1""")
 def fractional_slits(spark, d):
     """Weights of the slits of the smallest field on its local grid."""
     n, *_, alpha, beta, _, _ = geo.BANDS["1a"]
     axes = geo.local_axis(alpha, 0.05, 0.25), geo.local_axis(beta, 0.05, 0.25)
-    return geo.fractional_slits(spark, *axes, alpha, beta, n)
+    return geo.fractional_slits(spark, *axes, alpha, beta, n).select("s", "i", "j", F.round("w", 9).alias("w"))
 
 
 # Headers ------------------------------------------------------------------------

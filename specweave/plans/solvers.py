@@ -13,52 +13,112 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.operators.linear import difference
-from specweave.runtime import materialize
-
-
-def combine(x: DataFrame, y: DataFrame, keys: list[str], a: float, b: float) -> DataFrame:
-    """a x + b y, with 0 for a key that either lacks."""
-    both = x.select(*keys, (F.col("v") * a).alias("v")).union(y.select(*keys, (F.col("v") * b).alias("v")))
-    return both.groupBy(*keys).agg(F.sum("v").alias("v"))
-
-
-def inner(x: DataFrame, y: DataFrame, keys: list[str]) -> float:
-    return float(x.join(y.withColumnRenamed("v", "_v"), keys).agg(F.coalesce(F.sum(F.col("v") * F.col("_v")), F.lit(0.0))).first()[0])
+from specweave.operators.linear import difference, laplacian
+from specweave.runtime import discard, materialize, tidy
+from specweave.schema import GridSpec
+
+
+def _summed(keys: list[str], columns: list[str], parts: list[tuple[DataFrame, dict[str, str]]]) -> DataFrame:
+    """Vectors by key as columns of one table: each part names the column of it that adds to a column here."""
+    out = None
+    for part, names in parts:
+        one = part.select(*keys, *[F.col(names[c]).cast("double").alias(c) if c in names else F.lit(0.0).alias(c) for c in columns])
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def _begin(normal: Callable, right: DataFrame, keys: list[str], start: DataFrame | float | None) -> DataFrame:
+    """(x, r): the start, and the right side less what the operator makes of it."""
+    if start is None:
+        return right.select(*keys, F.lit(0.0).alias("x"), F.col("v").cast("double").alias("r"))
+    x = right.select(*keys, F.lit(float(start)).alias("v")) if isinstance(start, (int, float)) else start
+    minus = normal(x).select(*keys, (-F.col("v")).alias("v"))
+    return _summed(keys, ["x", "r"], [(x, {"x": "v"}), (right, {"r": "v"}), (minus, {"r": "v"})])
+
+
+def conjugate_gradient(normal: Callable[[DataFrame], DataFrame], right: DataFrame, keys: list[str], iterations: int = 10, tolerance: float = 1e-12, start: DataFrame | float | None = None, trace: list | None = None, callback: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+    """Solve normal(x) = right from ``start`` (0 if None, or one value for all).
+
+    The vectors are columns of one table. An iteration writes it once, with
+    what the operator makes of the direction; its inner products are taken
+    in that write, and the updates are arithmetic on the next read.
+    ``normal`` may return several rows of a key, which count as their sum.
+    ``trace`` gets the squared norm of the residual after each iteration,
+    ``callback`` its number and x.
+    """
+    state, seen = materialize(_begin(normal, right, keys, start).withColumn("p", F.col("r")), "cg", observed={"rr": F.sum(F.col("r") * F.col("r"))})
+    rr, written = seen["rr"] or 0.0, state
+    for k in range(iterations):
+        if rr <= tolerance:
+            break
+        made = normal(state.select(*keys, F.col("p").alias("v")))
+        joined = _summed(keys, ["x", "r", "p", "q"], [(state, {"x": "x", "r": "r", "p": "p"}), (made, {"q": "v"})])
+        product = lambda a, b: F.sum(F.col(a) * F.col(b))
+        table, seen = materialize(joined, "cg", observed={a + b: product(a, b) for a, b in ("pq", "pr", "rr", "rq", "qq")})
+        discard(written)
+        written = table
+        if not seen["pq"] or seen["pq"] <= 0:  # nothing is left to gain along p
+            state = table.select(*keys, "x")
+            break
+        # The best step along p, and a next direction that is conjugate to p.
+        step = seen["pr"] / seen["pq"]
+        turn = -(seen["rq"] - step * seen["qq"]) / seen["pq"]
+        rr = max(0.0, seen["rr"] - 2 * step * seen["rq"] + step * step * seen["qq"])
+        r = F.col("r") - step * F.col("q")
+        state = table.select(*keys, (F.col("x") + step * F.col("p")).alias("x"), r.alias("r"), (r + turn * F.col("p")).alias("p"))
+        if trace is not None:
+            trace.append(rr)
+        if callback is not None:
+            callback(k, state.select(*keys, F.col("x").alias("v")))
+    return state.select(*keys, F.col("x").alias("v"))
 
 
-def conjugate_gradient(normal: Callable[[DataFrame], DataFrame], right: DataFrame, keys: list[str], iterations: int = 10, tolerance: float = 1e-12, start: DataFrame | None = None, trace: list | None = None) -> DataFrame:
-    """Solve normal(x) = right from ``start`` (0 if None).
+def memory_gradient(normal: Callable[[DataFrame], DataFrame], right: DataFrame, keys: list[str], iterations: int = 10, tolerance: float = 1e-12, start: DataFrame | float | None = 0.5, trace: list | None = None, callback: Callable[[int, DataFrame], None] | None = None) -> DataFrame:
+    """Solve normal(x) = right by steps in the plane of the gradient and the step before.
 
-    ``trace`` gets the squared norm of the residual after each iteration.
+    Majorise-minimise by memory gradient, for a criterion that ``normal`` is
+    the curvature of: each step minimises over both directions at once.
+    Arguments as those of ``conjugate_gradient``.
     """
-    x = start if start is not None else right.select(*keys, F.lit(0.0).alias("v"))
-    r = materialize(combine(right, normal(x), keys, 1.0, -1.0) if start is not None else right.select(*keys, F.col("v").cast("double").alias("v")), "cg")
-    p, x, rr = r, materialize(x, "cg"), inner(r, r, keys)
-    for _ in range(iterations):
+    state, seen = materialize(_begin(normal, right, keys, start).withColumn("s", F.lit(0.0)), "mg", observed={"rr": F.sum(F.col("r") * F.col("r"))})
+    rr, written = seen["rr"] or 0.0, state
+    for k in range(iterations):
         if rr <= tolerance:
             break
-        q = materialize(normal(p), "cg")
-        step = rr / inner(p, q, keys)
-        x, r = materialize(combine(x, p, keys, 1.0, step), "cg"), materialize(combine(r, q, keys, 1.0, -step), "cg")
-        rr, before = inner(r, r, keys), rr
-        p = materialize(combine(r, p, keys, 1.0, rr / before), "cg")
+        parts = [(state, {"x": "x", "r": "r", "s": "s"}), (normal(state.select(*keys, F.col("r").alias("v"))), {"q": "v"})]
+        if k:
+            parts.append((normal(state.select(*keys, F.col("s").alias("v"))), {"t": "v"}))
+        product = {a + b: F.sum(F.col(a) * F.col(b)) for a in "rs" for b in "rqt"} | {a + b: F.sum(F.col(a) * F.col(b)) for a, b in ("qq", "qt", "tt")}
+        table, seen = materialize(_summed(keys, ["x", "r", "s", "q", "t"], parts), "mg", observed=product)
+        discard(written)
+        a, c = np.linalg.lstsq(np.array([[seen["rq"], seen["rt"]], [seen["sq"], seen["st"]]]), np.array([seen["rr"], seen["sr"]]), rcond=None)[0]
+        step = a * F.col("r") + c * F.col("s")
+        rr = max(0.0, rr - 2 * (a * seen["rq"] + c * seen["rt"]) + a * a * seen["qq"] + 2 * a * c * seen["qt"] + c * c * seen["tt"])
+        state, written = table.select(*keys, (F.col("x") + step).alias("x"), (F.col("r") - a * F.col("q") - c * F.col("t")).alias("r"), step.alias("s")), table
         if trace is not None:
             trace.append(rr)
-    return x
+        if callback is not None:
+            callback(k, state.select(*keys, F.col("x").alias("v")))
+    return state.select(*keys, F.col("x").alias("v"))
 
 
-def smoothness(maps: DataFrame, rows: int, columns: int) -> DataFrame:
-    """The sum over both axes of the transposed difference of the difference."""
-    parts = [difference(difference(maps, axis, n), axis, n, transposed=True) for axis, n in (("i", rows), ("j", columns))]
-    return parts[0].unionByName(parts[1])
+def smoothness(maps: DataFrame, rows: int, columns: int, joint: bool = False) -> DataFrame:
+    """The transposed difference of the difference, summed over both axes; with ``joint``, the Laplacian of the Laplacian.
+
+    Both are the circular Laplacian's doing: separate differences give it
+    once, and it is its own adjoint.
+    """
+    once = lambda x: laplacian(x.withColumnRenamed("m", "l"), GridSpec(rows, columns, 0)).withColumnRenamed("l", "m")
+    return once(once(maps)) if joint else once(maps)
 
 
-def quadratic_normal(forward: Callable, adjoint: Callable, keys: list[str], mu_data: float, mu_smooth: float, rows: int, columns: int) -> Callable[[DataFrame], DataFrame]:
-    """x to mu_data HtH x + mu_smooth (DtD x over both axes)."""
+def quadratic_normal(forward: Callable, adjoint: Callable, keys: list[str], mu_data: float, mu_smooth: float | dict[int, float], rows: int, columns: int, joint: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """x to mu_data HtH x + mu_smooth (DtD x), as rows that add up; ``mu_smooth`` may differ by map."""
+    weight = F.element_at(F.create_map(*[F.lit(z) for m, w in mu_smooth.items() for z in (int(m), float(w))]), F.col("m").cast("int")) if isinstance(mu_smooth, dict) else F.lit(float(mu_smooth))
 
     def normal(x: DataFrame) -> DataFrame:
-        return combine(adjoint(forward(x)), smoothness(x, rows, columns).groupBy(*keys).agg(F.sum("v").alias("v")), keys, mu_data, mu_smooth)
+        data = adjoint(forward(x)).select(*keys, (F.col("v") * mu_data).alias("v"))
+        return data.union(smoothness(x, rows, columns, joint).select(*keys, (F.col("v") * weight).alias("v")))
 
     return normal
 
@@ -71,23 +131,31 @@ def criterion(y: DataFrame, hx: DataFrame, x: DataFrame, y_keys: list[str], mu_d
     return joined.select(((F.col("d") * mu_data + (F.col("i") + F.col("j")) * mu_smooth) / 2).alias("criterion"))
 
 
-def huber_maps(forward: Callable, adjoint: Callable, right: DataFrame, keys: list[str], mu: float, threshold: float, rows: int, columns: int, outer: int = 3, iterations: int = 5) -> DataFrame:
-    """Huber-regularised maps by reweighting: each round solves with weights min(1, threshold / |difference|)."""
-    x = conjugate_gradient(quadratic_normal(forward, adjoint, keys, 1.0, mu, rows, columns), right, keys, iterations)
+def huber_maps(forward: Callable, adjoint: Callable, right: DataFrame, keys: list[str], mu: float, threshold: float, rows: int, columns: int, outer: int = 3, iterations: int = 5, planes: int | None = None) -> DataFrame:
+    """Huber-regularised maps by reweighting: each round solves with weights min(1, threshold / |difference|).
+
+    Differences run over both axes of a map; with ``planes``, for voxels by
+    (l, i, j), over the wavelengths as well.
+    """
+    axes = [("i", rows), ("j", columns)] + ([("l", planes)] if planes else [])
+
+    def penalised(bent: Callable[[DataFrame, str], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        def normal(z: DataFrame) -> DataFrame:
+            out = adjoint(forward(z)).select(*keys, "v")
+            for axis, n in axes:
+                part = difference(bent(difference(z, axis, n), axis), axis, n, transposed=True)
+                out = out.union(part.select(*keys, (F.col("v") * mu).alias("v")))
+            return out
+
+        return normal
+
+    x = conjugate_gradient(penalised(lambda d, _: d), right, keys, iterations)
     for _ in range(outer):
         weights = {}
-        for axis, n in (("i", rows), ("j", columns)):
+        for axis, n in axes:
             weights[axis] = materialize(difference(x, axis, n).select(*keys, F.least(F.lit(1.0), F.try_divide(F.lit(threshold), F.abs("v"))).alias("w")).fillna(1.0, ["w"]), "huber")
-
-        def normal(z: DataFrame) -> DataFrame:
-            parts = None
-            for axis, n in (("i", rows), ("j", columns)):
-                bent = difference(z, axis, n).join(weights[axis], keys).select(*keys, (F.col("v") * F.col("w")).alias("v"))  # noqa: B023
-                part = difference(bent, axis, n, transposed=True)
-                parts = part if parts is None else parts.unionByName(part)
-            return combine(adjoint(forward(z)), parts.groupBy(*keys).agg(F.sum("v").alias("v")), keys, 1.0, mu)
-
-        x = conjugate_gradient(normal, right, keys, iterations, start=x)
+        bend = lambda d, axis: d.join(weights[axis], keys).select(*keys, (F.col("v") * F.col("w")).alias("v"))  # noqa: B023, E731
+        x = conjugate_gradient(penalised(bend), right, keys, iterations, start=x)
     return x
 
 
@@ -156,7 +224,8 @@ def non_negative_factors(pixels: DataFrame, k: int, rounds: int = 50, seed: int
 
     error = float("inf")
     for _ in range(rounds):
-        flat = np.sum([row["p"] for row in pixels.mapInArrow(sums(h), "p array<double>").collect()], axis=0)
+        parts = pixels.mapInArrow(tidy(sums(h)), "p array<double>").select(F.posexplode("p").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
+        flat = np.array([row["v"] for row in sorted(parts.collect())])
         wtx, wtw, error = flat[: k * length].reshape(k, length), flat[k * length : -1].reshape(k, k), float(np.sqrt(flat[-1]))
         h = h * wtx / np.maximum(wtw @ h, 1e-12)
 

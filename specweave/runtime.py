@@ -10,7 +10,7 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no folder of its own, as in local tests.
@@ -21,30 +21,36 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; every executor can read it."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or spark.sparkContext.getCheckpointDir() or LOCAL_FALLBACK).rstrip("/")
+    """The folder in ``spark.checkpoint.dir``, which every executor can read; without it, one of this machine in local mode only."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (found or LOCAL_FALLBACK).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "table", counted: bool = False):
-    """Write ``df`` as Parquet in the shared folder and return a scan of it, with its number of rows if ``counted``.
+def materialize(df: DataFrame, name: str = "table", counted: bool = False, observed: dict[str, Column] | None = None):
+    """Write ``df`` as Parquet in the shared folder and return a scan of it.
 
     The scan has no lineage, so a lost executor costs one task and not the
     plan that made the table; it is written once and read as often as needed.
-    The shuffle files behind it have then served and are deleted.
+    The shuffle files behind it have then served and are deleted. With
+    ``counted`` or ``observed`` aggregates the result is the scan and the
+    number of rows or the aggregates' values, taken while writing.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    wanted = {"n": F.count(F.lit(1))} if counted else observed
     seen = Observation()
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        (df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df).write.parquet(path)
+        (df.observe(seen, *[c.alias(k) for k, c in wanted.items()]) if wanted else df).write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.shared_path = path
-    return (table, seen.get["n"]) if counted else table
+    return (table, seen.get["n"] if counted else seen.get) if wanted else table
 
 
 def discard(*tables: DataFrame) -> None:

@@ -47,15 +47,28 @@ def parse_fits(data: bytes) -> list[tuple[dict[str, str], list[int], np.ndarray
             at += -(-n // BLOCK) * BLOCK
         elif shape:
             n = int(np.prod(shape)) * abs(int(header["BITPIX"])) // 8 + int(header.get("PCOUNT", 0))
+            columns = int(header.get("TFIELDS", 0))
+            if columns and all(header.get(f"TFORM{k + 1}", "").lstrip("1") == "D" for k in range(columns)):
+                shape = [shape[0], columns]
+                image = np.frombuffer(data[at : at + 8 * shape[0] * columns], ">f8").astype(float)
             at += -(-n // BLOCK) * BLOCK
         units.append((header, shape, image))
     return units
 
 
-def fits_bytes(units: list[tuple[dict[str, object], np.ndarray | None]]) -> bytes:
-    """A FITS file of image units."""
+def fits_bytes(units: list[tuple[dict[str, object], np.ndarray | dict[str, np.ndarray] | None]]) -> bytes:
+    """A FITS file of image units, and of tables where columns of doubles by name stand for an image, such as a cube's axes."""
     out = b""
     for k, (header, image) in enumerate(units):
+        if isinstance(image, dict):
+            n = len(next(iter(image.values())))
+            cards = [("XTENSION", "'BINTABLE'"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 8 * len(image)), ("NAXIS2", n), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(image))]
+            cards += [card for c, name in enumerate(image) for card in ((f"TTYPE{c + 1}", f"'{name}'"), (f"TFORM{c + 1}", "'1D      '"))]
+            cards += [(name, f"'{v}'" if isinstance(v, str) else v) for name, v in header.items()]
+            text = "".join(f"{name:<8}= {v!s:>20}".ljust(CARD) for name, v in cards) + "END".ljust(CARD)
+            body = np.stack([np.asarray(v, float) for v in image.values()], 1).astype(">f8").tobytes()
+            out += text.ljust(-(-len(text) // BLOCK) * BLOCK).encode("ascii") + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
+            continue
         cards = [("SIMPLE", "T") if k == 0 else ("XTENSION", "'IMAGE   '"), ("BITPIX", -64), ("NAXIS", 0 if image is None else image.ndim)]
         cards += [] if image is None else [(f"NAXIS{a + 1}", n) for a, n in enumerate(reversed(image.shape))]
         cards += [(n, f"'{v}'" if isinstance(v, str) else v) for n, v in header.items()]
@@ -98,6 +111,21 @@ def read_dithers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema="alpha double, beta double", comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
 
 
+def read_axes(spark: SparkSession, path: str) -> DataFrame:
+    """Throughput or wavelength tables: (name, idx, x) of the vectors in NPY files, named as they are."""
+    stem = F.regexp_extract("path", "([^/]*)\\.npy$", 1)
+    return read_npy(spark, path).select(stem.alias("name"), F.posexplode("data").alias("idx", "x"))
+
+
+def save_targets(targets: DataFrame, path: str) -> None:
+    """Targets (name, alpha, beta) by file name, as Parquet."""
+    targets.select("name", "alpha", "beta").write.mode("overwrite").parquet(path)
+
+
+def load_targets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("name string, alpha double, beta double").parquet(path)
+
+
 def unfolded(arrays: DataFrame) -> DataFrame:
     """Values of a three-dimensional array as (path, l, i, j, v); NaN as null."""
     n1, n2 = F.col("shape")[1], F.col("shape")[2]

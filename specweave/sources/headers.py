@@ -11,6 +11,32 @@ from specweave.functions.geometry import instruments
 ROTATIONS = {"3": 7.5, "4": 8.3}
 
 
+#: Fixed values of corrected files by channel: slits, pixel, field of view (arcsec), degrees added to the position angle.
+CORRECTED = {1: (21, 0.196, 3.2, 3.7, 8.4), 2: (17, 0.196, 4.0, 4.8, 8.2), 3: (16, 0.245, 5.5, 6.2, 7.5), 4: (12, 0.273, 6.9, 7.9, 8.3)}
+#: Names of the bands a, b and c in headers.
+LETTERS = ("SHORT", "MEDIUM", "LONG")
+
+
+def corrected_instrument(files: DataFrame) -> DataFrame:
+    """Corrected files with their instrument, from the header's CHANNEL, BAND and PA_V3 alone.
+
+    Adds chan, n_slit, det_pix, alpha_width, beta_width and angle. Their
+    constants differ from those by band name. A file with another channel or
+    band raises.
+    """
+    rows = [(channel, *values) for channel, values in CORRECTED.items()]
+    table = files.sparkSession.createDataFrame(rows, "CHANNEL int, n_slit int, det_pix double, alpha_width double, beta_width double, turn double")
+    letter = F.array_position(F.array(*map(F.lit, LETTERS)), F.upper("BAND")).cast("int")
+    known = F.col("CHANNEL").cast("int").isin(list(CORRECTED)) & (F.coalesce(letter, F.lit(0)) > 0)
+    named = files.withColumn("CHANNEL", F.when(known, F.col("CHANNEL").cast("int")).otherwise(F.raise_error(F.lit("no such channel or band")))).withColumn("chan", F.concat(F.col("CHANNEL").cast("string"), F.char(96 + letter)))
+    return named.join(F.broadcast(table), "CHANNEL").withColumn("angle", F.col("PA_V3") + F.col("turn")).drop("turn")
+
+
+def pixel_name(name: Column) -> Column:
+    """The name, ending in ``pix``."""
+    return F.when(name.endswith("pix"), name).otherwise(F.concat(name, F.lit("_pix")))
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
