@@ -9,47 +9,112 @@ trained on pages that a generator builds with known labels.
 
 from __future__ import annotations
 
+import functools
 import html
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specweave.llm import words
+from specweave.runtime import tidy
 
 HIDDEN, PATH_DIM, WORD_DIM, SHAPES = 12, 12, 6, 8
 PATH_BUCKETS, WORD_BUCKETS = 1 << 12, 1 << 13
 INPUTS = 2 * PATH_DIM + WORD_DIM + SHAPES
 
-#: Elements whose content is no text, those without an end, and those that don't end a block.
-RAW = frozenset("script style noscript template iframe svg object canvas textarea select".split())
+#: Elements whose content is no text: read up to the end tag, or nested ones. Those without an end, and those that don't end a block.
+RAW = frozenset("script style noscript iframe textarea noembed noframes xmp".split())
+HIDDEN_TREES = frozenset("template svg object canvas select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: What an opening tag closes, if that is open above it within the second set.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "body": ("head", "html")}
-CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+CLOSES = {k: (a.split(), b.split()) for k, (a, b) in CLOSES.items()}
+#: Tags that can't stand in an image or a choice, and so end one that was left open.
+BREAKS_OUT = frozenset("address article aside blockquote body center dd div dl dt fieldset footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
+#: Steps of a tag path that are kept: so many outermost and innermost ones.
+OUTER, INNER = 40, 24
+
+# A tag's name and attributes. A value without quotes may hold any; quotes that nothing closes are part of it.
+_TAG = re.compile(r"([a-zA-Z][^\s/>]*+)((?:[^\"'>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)|[\"'])*+)>")
+_ATTRIBUTE = re.compile(r"([^\s/=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+))|[^\s/=]++|[\s/=]")
+_COMMENT_END = re.compile("--!?>")
+_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*+>?", re.IGNORECASE) for tag in RAW | HIDDEN_TREES}
 _PART = re.compile(r"[a-z]+")
 
 
+class _Open:
+    """The open elements of a page, with where each tag is open."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.steps: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.hidden = 0
+
+    def push(self, tag: str, step: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        self.hidden += tag in HIDDEN_TREES
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+            self.steps.append(step)
+        self.tags.append(tag)
+
+    def cut(self, length: int) -> None:
+        """Close all but the outermost ``length`` elements."""
+        while len(self.tags) > length:
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            self.hidden -= tag in HIDDEN_TREES
+            if tag not in INLINE:
+                self.blocks.pop()
+                self.steps.pop()
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost of some tags is open, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def path(self) -> tuple[str, ...]:
+        s = self.steps
+        return tuple(s) if len(s) <= OUTER + INNER else (*s[:OUTER], *s[-INNER:])
+
+
+def _step(tag: str, attributes: str) -> str:
+    """A tag with the words of its class, id and role."""
+    if "class" in (low := attributes.lower()) or "id" in low or "role" in low:
+        names = [b or c or d for a, b, c, d in _ATTRIBUTE.findall(attributes) if a.lower() in ("class", "id", "role")]
+        if names:
+            return f"{tag} {' '.join(names).lower()}"
+    return tag
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """The leaf blocks of a page: tag path, text and characters within links.
 
-    A path step is a tag with the words of its class, id and role. Character
-    references are decoded and white space runs are one space; blocks
-    without text are left out.
+    A path step is a tag with the words of its class, id and role; of a very
+    deep path the middle is left out. Character references are decoded and
+    white space runs are one space; blocks without text are left out.
+
+    Broken markup is read as browsers do: an unclosed comment, script, style
+    or tag runs to the end of the page, and a slash before ``>`` means
+    nothing. Of the other elements without text, one that has no end tag any
+    more is passed over, and an image or a choice left open ends at the next
+    block. The time is in proportion to the length of the page.
     """
     out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []
     text: list[str] = []
     linked: list[str] = []
-    at, path = 0, ()
+    opened = _Open()
+    ends: dict[str, tuple[int, int]] = {}
+    at, path, size = 0, (), len(page)
 
     def flush() -> None:
         nonlocal text, linked
@@ -60,58 +125,72 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     def say(chunk: str) -> None:
         nonlocal path
-        if chunk:
+        if chunk and not opened.hidden:
             if not text:
-                path = tuple(s for t, s in stack if t not in INLINE)
+                path = opened.path()
             text.append(chunk)
-            if any(t == "a" for t, _ in stack):
+            if opened.at.get("a"):
                 linked.append(chunk)
 
-    while at < len(page):
-        mark = _MARK.search(page, at)
-        if mark is None:
+    def end_of(tag: str) -> int:
+        """Where the next end tag is over, or -1."""
+        if ends.get(tag, (-1, 0))[0] < at:
+            found = _ENDS[tag].search(page, at)
+            ends[tag] = found.span() if found else (size, -1)
+        return ends[tag][1]
+
+    while at < size:
+        mark = page.find("<", at)
+        if mark < 0:
             say(page[at:])
             break
-        say(page[at : mark.start()])
-        at = mark.end()
-        if mark[2] is None:
+        say(page[at:mark])
+        at = mark + 1
+        closing = page.startswith("/", at)
+        found = _TAG.match(page, at + closing)
+        if found is None:
+            after = page[at : at + 1 + closing]
+            if page.startswith("!--", at):
+                end = _COMMENT_END.search(page, at + 1)
+                at = end.end() if end else size
+            elif after[:1] in ("!", "?", "/"):
+                at = (page.find(">", at) + 1) or size
+            elif after.isascii() and after.isalpha():
+                at = size
+            else:
+                say("<")
             continue
-        tag = mark[2].lower()
+        at = found.end()
+        tag = found[1].lower()
         if tag not in INLINE:
             flush()
         elif tag == "br":
             say(" ")
-        if mark[1]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        if closing:
+            k = opened.last(tag)
+            if k >= 0 and (tag not in INLINE or not opened.blocks or k > opened.blocks[-1]):
+                opened.cut(k)
             continue
-        if tag in RAW and not mark[3].endswith("/"):
-            end = re.compile(f"</{re.escape(tag)}\\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in RAW:
+            end = end_of(tag)
+            at = end if end >= 0 else size if tag in ("script", "style") else at
             continue
-        if tag in VOID or mark[3].endswith("/"):
+        if tag in VOID:
             continue
+        if tag in HIDDEN_TREES and (end_of(tag) < 0 or tag == "svg" and found[2].endswith("/")):
+            continue
+        if tag in BREAKS_OUT and (k := opened.last("svg", "select")) >= 0 and opened.last("foreignobject") < k:
+            opened.cut(min(opened.at[t][0] for t in ("svg", "select") if opened.at.get(t)))
         if tag not in INLINE:
-            while stack and stack[-1][0] in INLINE:
-                stack.pop()
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            k = len(opened.tags)
+            while k and opened.tags[k - 1] in INLINE:
+                k -= 1
+            opened.cut(k - 1 if k and opened.tags[k - 1] == "p" else k)
         if tag in CLOSES:
-            ends, within = CLOSES[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] in within:
-                    break
-        names = " ".join(a or b or c for a, b, c in _NAMED.findall(mark[3])) if mark[3] else ""
-        stack.append((tag, f"{tag} {names.lower()}" if names else tag))
+            k = opened.last(*CLOSES[tag][0])
+            if k > opened.last(*CLOSES[tag][1]):
+                opened.cut(k)
+        opened.push(tag, _step(tag, found[2]))
     flush()
     return out
 
@@ -192,9 +271,9 @@ class Labeller:
     def inputs(self, s: Sequences) -> np.ndarray:
         return np.concatenate([_mean(self.tables["path"], s.paths[0], s.path_counts[0]), _mean(self.tables["leaf"], s.paths[1], s.path_counts[1]), _mean(self.tables["word"], s.word, s.word_counts), s.shape], 1)
 
-    def _run(self, d: str, gates: np.ndarray, mask: np.ndarray, tape: list | None) -> np.ndarray:
+    def _run(self, d: str, gates: np.ndarray, mask: np.ndarray, tape: list | None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
         u = self.p[f"U{d}"]
-        h = c = np.zeros((gates.shape[1], HIDDEN), np.float32)
+        h, c = state or (np.zeros((gates.shape[1], HIDDEN), np.float32),) * 2
         out = np.empty((*gates.shape[:2], HIDDEN), np.float32)
         for t in range(len(gates)) if d == "f" else range(len(gates) - 1, -1, -1):
             a = gates[t] + h @ u
@@ -207,13 +286,13 @@ class Labeller:
                 tape.append((t, h, c, i, f, o, g, s))
             c, h = np.where(on, new_c, c), np.where(on, o * s, h)
             out[t] = h
-        return out
+        return out, (h, c)
 
     def forward(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray, tapes: dict | None = None) -> np.ndarray:
         states = []
         for d in "fb":
             gates = (x @ self.p[f"W{d}"] + self.p[f"b{d}"])[at]
-            states.append(self._run(d, gates, mask, None if tapes is None else tapes.setdefault(d, [])))
+            states.append(self._run(d, gates, mask, None if tapes is None else tapes.setdefault(d, []))[0])
         both = np.concatenate(states, 2)
         if tapes is not None:
             tapes["both"] = both
@@ -273,6 +352,20 @@ class Labeller:
                     np.add.at(self.tables[name], rows, -0.05 * grad / np.sqrt(seen[name][rows])[:, None])
         return self
 
+    def logits(self, x: np.ndarray, at: np.ndarray, mask: np.ndarray, steps: int = 1 << 14) -> np.ndarray:
+        """What ``forward`` gives, in spans of time, so that long pages hold one number a block."""
+        z = (x @ self.p["s"])[at] + self.p["k"][0]
+        spans = range(0, len(at), max(1, steps // at.shape[1]))
+        for side, d in enumerate("fb"):
+            out = self.p["o"][side * HIDDEN : (side + 1) * HIDDEN]
+            state = None
+            for lo in spans if d == "f" else reversed(spans):
+                here = slice(lo, lo + spans.step)
+                gates = (x[at[here]].reshape(-1, INPUTS) @ self.p[f"W{d}"] + self.p[f"b{d}"]).reshape(*at[here].shape, -1)
+                h, state = self._run(d, gates, mask[here], None, state)
+                z[here] += h @ out
+        return z
+
     def keep(self, pages: list[list], cache: dict, cells: int = 100_000) -> list[np.ndarray]:
         """Which blocks of each page are main text."""
         s = Sequences(pages, cache)
@@ -288,7 +381,7 @@ class Labeller:
             while hi < len(order) and (hi - lo + 1) * s.size[order[hi]] <= cells:
                 hi += 1
             at, mask = s.padded(order[lo:hi])
-            main = self.forward(x, at, mask) > 0
+            main = self.logits(x, at, mask) > 0
             for k, page in enumerate(order[lo:hi]):
                 out[page] = main[: s.size[page], k]
             lo = hi
@@ -410,6 +503,17 @@ def train(pages: int = 700) -> Labeller:
     return Labeller().fit([m[0] for m in made], [m[1] for m in made])
 
 
+@functools.cache
+def _trained(spark: SparkSession, pages: int) -> Broadcast:
+    """The labeller, trained in one task and once a session; it doesn't depend on input."""
+
+    def run(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(pages))], pa.binary())], names=["model"])
+
+    model = spark.range(0, 1, 1, 1).mapInArrow(tidy(run), "model binary").first()["model"]
+    return spark.sparkContext.broadcast(pickle.loads(model))
+
+
 def extract_main_text(pages: DataFrame, training_pages: int = 700) -> DataFrame:
     """Return ``page_id, url, text, n_chars`` for each row.
 
@@ -419,7 +523,7 @@ def extract_main_text(pages: DataFrame, training_pages: int = 700) -> DataFrame:
     rows stay; other columns are ignored; an empty table gives no rows. The
     labeller is trained on ``training_pages`` generated pages, not on input.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(train(training_pages))
+    shared = _trained(pages.sparkSession, training_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -430,4 +534,4 @@ def extract_main_text(pages: DataFrame, training_pages: int = 700) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
