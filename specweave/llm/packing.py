@@ -66,7 +66,7 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, per
 
 def _pack_shard(capacity: int, per_source: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("cluster", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("cluster", "ascending"), ("source", "ascending"), ("piece", "ascending")])
         shard = table.column("shard")[0].as_py()
         bins, offsets = best_fit(table.column("n_words").to_pylist(), table.column("source").to_pylist(), table.column("cluster").to_pylist(), capacity, per_source)
         ids = np.array(bins, np.int64) + shard * (1 << 32)
@@ -86,9 +86,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     source. ``cluster`` names a column with cluster ids; without it, texts
     that are equal are a cluster. A document's own pieces are one as well.
 
-    Pieces are dealt to shards of about ``shard_rows`` by a hash, so that a
-    large source or cluster spreads over all of them, and each shard is
-    packed on its own, the largest pieces first. A text without words, null
+    Pieces are dealt to shards of ``shard_rows`` on average by a hash, so
+    that a large source or cluster spreads over all of them, and each shard
+    is packed on its own, the largest pieces first, at every size of input:
+    the search for the tightest bin sees the bins of one shard. Reruns agree. A text without words, null
     or not, has one row with a null ``bin_id``. A null source is a source; a
     row whose cluster is null is a cluster by its text. Null ids and repeated
     rows are packed like others; an empty table gives no rows.
@@ -96,11 +97,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     by_text = F.xxhash64(text)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col(cluster).cast("long"), by_text).alias("cluster") if cluster else by_text.alias("cluster"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
-    rows = rows.withColumn("salt", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() % 4096).otherwise(F.lit(0)))
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("long"))))
-    pieces = materialize(pieces.select("doc_id", "piece", (F.col("piece") * capacity).alias("first_word"), F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).cast("long").alias("n_words"), "source", "cluster", "salt"), "pieces")
-    shards = max(1, -(-pieces.count() // shard_rows))
-    dealt = pieces.where("n_words > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "salt", "piece"), F.lit(shards)).cast("long")).drop("salt")
-    packed = dealt.groupBy("shard").applyInArrow(_pack_shard(capacity, per_source), COLUMNS)
-    empty = pieces.where("n_words = 0").select(F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_offset"), "doc_id", "piece", "first_word", "n_words", "source", "cluster")
+    # Equal rows are interchangeable: they are counted, and dealt out by a number among them.
+    alike = materialize(rows.groupBy("doc_id", "source", "cluster", "size").agg(F.count("*").alias("n")), "sizes")
+    alike = alike.withColumn("pieces", F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)).cast("long"))
+    total = alike.agg(F.coalesce(F.sum(F.col("n") * F.col("pieces")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard_rows))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    pieces = alike.withColumn("copy", upto("n")).withColumn("piece", upto("pieces")).withColumn("first_word", F.col("piece") * capacity)
+    pieces = pieces.withColumn("n_words", F.least(F.col("size") - F.col("first_word"), F.lit(capacity)).cast("long"))
+    kept = ["doc_id", "piece", "first_word", "n_words", "source", "cluster"]
+    shard = F.pmod(F.xxhash64("doc_id", "cluster", "copy", "piece"), F.lit(shards)).cast("long")
+    packed = pieces.where("n_words > 0").select(*kept, shard.alias("shard")).groupBy("shard").applyInArrow(_pack_shard(capacity, per_source), COLUMNS)
+    empty = pieces.where("n_words = 0").select(F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_offset"), *kept)
     return packed.unionByName(empty)
