@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from specweave.llm.words import WORD
 from specweave.runtime import materialize
 
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: The golden ratio's fraction in 64 bits (a fixed value), and slots whose points are exact to 1e-10 in one product.
+GOLDEN, SPAN = 0x9E3779B97F4A7C15, 1 << 20
 #: Words to a block, and the least number of blocks that a source is cut into (if it has as many words).
 BLOCK_WORDS, LEAST_BLOCKS = 4096, 256
 #: Slots whose ranks one window counts, and rows that one hash range holds on average.
@@ -73,6 +74,13 @@ def _cut(sources: DataFrame) -> DataFrame:
     return s.withColumn("lo", F.coalesce(F.try_divide(F.col("upto") - F.col("due"), "all_due"), F.lit(0.0))).withColumn("hi", F.coalesce(F.try_divide("upto", "all_due"), F.lit(0.0)))
 
 
+def _point(slot: Column) -> Column:
+    """The fractional part of (slot + 1/2) times the golden ratio, by spans of slots, so that it keeps its digits."""
+    one, span = GOLDEN / 2**64, (GOLDEN * SPAN % 2**64) / 2**64
+    x = slot % SPAN * one + F.expr(f"slot div {SPAN}") * span + one / 2
+    return x - F.floor(x)
+
+
 def schedule(sources: DataFrame) -> DataFrame:
     """The mix as ``slot, source_no, rank, block``, in the order of the slots.
 
@@ -82,8 +90,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     """
     due = sources.agg(F.coalesce(F.max("all_due"), F.lit(0))).first()[0]
     slots = sources.sparkSession.range(0, due + due // 500 + 64 if due else 0).withColumnRenamed("id", "slot")
-    point = F.col("slot") * GOLDEN + GOLDEN / 2
-    slots = slots.withColumn("point", point - F.floor(point)).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
+    slots = slots.withColumn("point", _point(F.col("slot"))).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
     cells = sources.where("due > 0").select("source_no", "blocks", "due", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.floor(F.col("hi") * CELLS).cast("int"))).alias("cell"))
     dealt = slots.join(cells, "cell").where("point >= lo and point < hi").select("slot", "source_no", "blocks", "due", F.expr(f"slot div {SLOT_RANGE}").alias("part"))
     parts = dealt.groupBy("source_no", "part").agg(F.count("*").alias("n"))
