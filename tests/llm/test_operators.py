@@ -155,7 +155,7 @@ def test_labeller_on_pages_it_has_not_seen(spark):
     assert right.mean() > 0.97
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (4, "u", "<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Big news</h1><p>This is a long text, with words. And more of them.</p></article><footer>&copy; me</footer>")]
     out = html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), 400).collect()
-    assert [(x.text, x.n_chars) for x in out[:3]] == [("", 0)] * 3 and out[3].text == "Big news\nThis is a long text, with words. And more of them."
+    assert [(x.text, x.n_chars) for x in out[:3]] == [("", 0)] * 3 and out[3].text == "Big news\n\nThis is a long text, with words. And more of them."
 
 
 # Mixing -----------------------------------------------------------------------------
