@@ -86,19 +86,22 @@ def fourier_resample(pixels: DataFrame, samples: int) -> DataFrame:
     return pixels.mapInArrow(run, "i int, j int, spectrum array<double>")
 
 
-def spectral_response(wavelengths: np.ndarray, detector: np.ndarray, beta: np.ndarray, resolution: float, scale: float, margin: int = 14) -> np.ndarray:
-    """Squared-sinc response w[detector, wavelength, column], each row of one sum.
+def spectral_response(wavelengths: DataFrame, detector: DataFrame, columns: DataFrame, resolution: float, scale: float, margin: int = 14) -> DataFrame:
+    """Squared-sinc response (lp, l, b, w), of one sum for each detector sample and column.
 
-    The argument is multiplied by pi once more than the sinc itself does. The
-    rows are normalised over the wavelengths with a margin on either side,
-    which is then cut off.
+    ``wavelengths`` is a regular axis (l, x) from l = 0, ``detector`` (lp, y)
+    and ``columns`` (b, beta) the columns' places in the slit. The argument
+    is multiplied by pi once more than the sinc itself does. Sums run over
+    the wavelengths and a margin on either side, which is then left out.
     """
-    step = wavelengths[1] - wavelengths[0]
-    wide = np.concatenate([wavelengths[0] - step * np.arange(margin, 0, -1), wavelengths, wavelengths[-1] + step * np.arange(1, margin + 1)])
-    shift = detector[:, None, None] - wide[None, :, None] - scale * beta[None, None, :]
-    w = np.sinc(np.pi * resolution * shift / detector[:, None, None]) ** 2
-    w /= w.sum(1, keepdims=True)
-    return w[:, margin:-margin]
+    ends = wavelengths.agg(F.max("l").alias("n"), F.min("x").alias("x0"), F.max("x").alias("xn")).first()
+    step = (ends.xn - ends.x0) / ends.n
+    wide = detector.sparkSession.range(-margin, ends.n + margin + 1).select(F.col("id").cast("int").alias("l"), (ends.x0 + step * F.col("id")).alias("x"))
+    z = np.pi * np.pi * resolution * (F.col("y") - F.col("x") - scale * F.col("beta")) / F.col("y")
+    pairs = detector.join(columns, F.lit(True)).join(wide, F.lit(True)).withColumn("_z", z)
+    raw = pairs.withColumn("_w", F.when(F.abs("_z") < 1e-12, 1.0).otherwise(F.pow(F.sin("_z") / F.col("_z"), F.lit(2.0))))
+    share = F.col("_w") / F.sum("_w").over(Window.partitionBy("lp", "b"))
+    return raw.withColumn("w", share).where(F.col("l").between(0, ends.n)).select("lp", "l", "b", "w")
 
 
 def one_hot_response(wpsf: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def circular_blur(cube: DataFrame, psf: DataFrame, grid: GridSpec, value: str =
     turns the offsets round.
     """
     sign = -1 if transposed else 1
-    spread = cube.join(F.broadcast(psf), on=F.lit(True)) if "l" not in psf.columns else cube.join(psf, "l")
+    spread = cube.join(psf, on=F.lit(True)) if "l" not in psf.columns else cube.join(psf, "l")
     at = lambda x, d, n: F.pmod(F.col(x) + sign * F.col(d), F.lit(n)).alias(x)
     return spread.select("l", at("i", "di", grid.rows), at("j", "dj", grid.columns), (F.col(value) * F.col("w")).alias("v")).groupBy("l", "i", "j").agg(F.sum("v").alias("v"))
 
@@ -95,6 +95,15 @@ def nearest_weights(targets: DataFrame, x0: float, hx: float, nx: int, y0: float
     return targets.select("t", near("x", x0, hx, nx).alias("i"), near("y", y0, hy, ny).alias("j"), F.lit(1.0).alias("w"))
 
 
+def interpolation(method: str, targets: DataFrame, *axes, outside: str = "raise") -> DataFrame:
+    """Weights (t, i, j, w) on a regular grid by ``linear`` or ``nearest`` interpolation; another method is an error."""
+    if method == "linear":
+        return bilinear_weights(targets, *axes, outside=outside)
+    if method == "nearest":
+        return nearest_weights(targets, *axes)
+    raise ValueError(f"no such interpolation: {method}")
+
+
 def grid_forward(cube: DataFrame, weights: DataFrame, value: str = "v") -> DataFrame:
     return apply_weights(cube, weights, ["i", "j"], ["l", "t"], value)
 
@@ -150,7 +159,7 @@ def transmittance(axis: DataFrame, points: DataFrame) -> DataFrame:
 
     nxt = Window.orderBy("x")
     pieces = points.select(F.col("x").alias("xa"), F.col("y").alias("ya"), F.lead("x").over(nxt).alias("xb"), F.lead("y").over(nxt).alias("yb")).withColumn("last", F.lead("xb").over(Window.orderBy("xa")).isNull())
-    pieces = F.broadcast(pieces.where("xb is not null"))
+    pieces = pieces.where("xb is not null")
     hit = (axis.x >= pieces.xa) & ((axis.x < pieces.xb) | (pieces.last & (axis.x == pieces.xb)))
     return axis.join(pieces, hit, "left").select("l", F.coalesce(F.col("ya") + (F.col("x") - F.col("xa")) / (F.col("xb") - F.col("xa")) * (F.col("yb") - F.col("ya")), F.lit(0.0)).alias("w"))
 
@@ -159,10 +168,6 @@ def integrate(cube: DataFrame, weights: DataFrame, value: str = "v") -> DataFram
     return apply_weights(cube, weights, ["l"], ["i", "j"], value)
 
 
-def pixel_sum(terms: Column) -> Column:
-    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-
-
 def window_offset(axis: list[float], at: float, width: int) -> tuple[int, int]:
     """First index and end of a window of about ``width`` around the nearest sample, the first of several."""
     middle = min(range(len(axis)), key=lambda k: (abs(axis[k] - at), k))

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.operators import linear
+from specweave import schema
+from specweave.operators import dense, linear
 from specweave.schema import GridSpec
 
 
@@ -53,8 +55,20 @@ def mixing(templates: DataFrame) -> LinearOperator:
     return LinearOperator(lambda x: linear.mix_maps(x.withColumnRenamed("v", "a"), templates), lambda y: linear.unmix_cube(y, templates).withColumnRenamed("a", "v"))
 
 
-def blur(psf: DataFrame, grid: GridSpec) -> LinearOperator:
-    """C: circular blur of each plane."""
+def blur(psf: DataFrame, grid: GridSpec, taps: int = 64) -> LinearOperator:
+    """C: circular blur of each plane.
+
+    A kernel of few taps is a join, each value going to the places that it
+    reaches; one of more than ``taps`` goes through the Fourier domain, where
+    its size doesn't matter. The kernel is geometry, no larger than a plane.
+    """
+    if "l" not in psf.columns and psf.count() > taps:
+        kernel = np.zeros((grid.rows, grid.columns))
+        for di, dj, w in psf.select("di", "dj", "w").collect():
+            kernel[di % grid.rows, dj % grid.columns] += w
+        otf = np.fft.rfft2(kernel)
+        dense_ = lambda x, turned: schema.from_planes(dense.fft_blur(schema.planes(x), otf, grid, turned), grid).select("l", "i", "j", "v")
+        return LinearOperator(lambda x: dense_(x, False), lambda y: dense_(y, True))
     return LinearOperator(lambda x: linear.circular_blur(x, psf, grid), lambda y: linear.circular_blur(y, psf, grid, transposed=True))
 
 

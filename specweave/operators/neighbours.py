@@ -126,7 +126,7 @@ def line_profile(cube: DataFrame, start: tuple[float, float], stop: tuple[float,
 
     at = lambda a, b: F.lit(float(a)) + F.col("id") * ((b - a) / (points - 1))
     targets = cube.sparkSession.range(points).select(F.col("id").cast("int").alias("t"), at(start[0], stop[0]).alias("x"), at(start[1], stop[1]).alias("y"))
-    found = grid_forward(cube, F.broadcast(bilinear_weights(targets, 0.0, 1.0, rows, 0.0, 1.0, columns)), value)
+    found = grid_forward(cube, bilinear_weights(targets, 0.0, 1.0, rows, 0.0, 1.0, columns), value)
     return found.select("l", "t", F.try_divide(F.col("v").cast("double"), F.max("v").over(Window.partitionBy("l")).cast("double")).alias("v"))
 
 

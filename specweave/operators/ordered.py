@@ -48,6 +48,20 @@ def stride(rows: DataFrame, axis: str, step: int) -> DataFrame:
     return rows.where(F.col(axis) % step == 0).withColumn(axis, F.expr(f"{axis} div {step}").cast("int"))
 
 
+def rolled(rows: DataFrame, key: str, axis: str, by: dict[int, int], n: int) -> DataFrame:
+    """Each key's samples moved round by its own number of places, 0 where it has none."""
+    places = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in by.items() for x in pair]), F.col(key)), F.lit(0))
+    return rows.withColumn(axis, F.pmod(F.col(axis) + places, F.lit(n)).cast("int"))
+
+
+def stuffed(rows: DataFrame, key: str, axis: str, value: str, factor: int) -> DataFrame:
+    """Samples with ``factor`` - 1 zeros after each, then the centred box sum over ``factor`` places."""
+    wide = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
+    wide = wide.select(key, (F.col(axis) * factor + F.col("_k")).cast("int").alias(axis), F.when(F.col("_k") == 0, F.col(value)).otherwise(F.lit(0)).alias(value))
+    near = Window.partitionBy(key).orderBy(axis).rowsBetween(-(factor // 2), factor // 2)
+    return wide.withColumn(value, F.sum(value).over(near))
+
+
 def upsample(rows: DataFrame, axis: str, factor: int) -> DataFrame:
     """Each sample ``factor`` times, side by side."""
     return rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(factor - 1)))).withColumn(axis, F.col(axis) * factor + F.col("_k")).drop("_k")

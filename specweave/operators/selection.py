@@ -47,6 +47,14 @@ def reject_out_of_range(samples: DataFrame, high: float, low: float | None = Non
     return samples.join(beyond.select("label").distinct(), "label", "left_anti")
 
 
+def by_channel(cube: DataFrame, cuts: DataFrame, kept: list[int], value: str = "v") -> DataFrame:
+    """The cube with each wavelength's channel, counted from 1 over the cuts (idx), and 0 in channels that aren't ``kept``."""
+    packed = cuts.agg(F.collect_list("idx").alias("_cuts"))
+    chan = (F.size(F.filter("_cuts", lambda c: c <= F.col("l"))) + 1).cast("int")
+    named = cube.join(packed, F.lit(True)).withColumn("chan", chan).drop("_cuts")
+    return named.withColumn(value, F.when(F.col("chan").isin(kept), F.col(value)).otherwise(F.lit(0)))
+
+
 def trim_empty_planes(cube: DataFrame, value: str = "v") -> DataFrame:
     """Planes from the first to before the last whose sum isn't 0."""
     full = cube.groupBy("l").agg(F.sum(value).alias("s")).where("s <> 0").agg(F.min("l").alias("_a"), F.max("l").alias("_b"))

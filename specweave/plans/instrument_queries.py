@@ -84,8 +84,9 @@ def hessian_apply(spark, d):
 a AS (SELECT p, k, b, pi() * pi() * 300 * (y - x - 0.02 * (b - 1)) / y AS z FROM x, p, range(0, 3) AS r(b)), v AS (SELECT p, k, b, CASE WHEN abs(z) < 1e-12 THEN 1.0 ELSE pow(sin(z) / z, 2) END AS v FROM a)
 SELECT CAST(p AS INTEGER) AS lp, CAST(k AS INTEGER) AS l, CAST(b AS INTEGER) AS b, w FROM (SELECT *, round(v / sum(v) OVER (PARTITION BY p, b), 9) AS w FROM v) WHERE k BETWEEN 0 AND 31""")
 def spectral_response(spark, d):
-    w = dense.spectral_response(5 + 0.01 * np.arange(32), 5.05 + 0.03 * np.arange(6), np.arange(3) - 1.0, 300, 0.02)
-    return spark.createDataFrame([(p, l, b, round(float(w[p, l, b]), 9)) for p, l, b in np.ndindex(w.shape)], "lp int, l int, b int, w double")
+    axis = lambda n, name, at, first, step: spark.range(n).select(F.col("id").cast("int").alias(name), (F.lit(float(first)) + F.col("id") * step).alias(at))
+    w = dense.spectral_response(axis(32, "l", "x", 5, 0.01), axis(6, "lp", "y", 5.05, 0.03), axis(3, "b", "beta", -1, 1.0), 300, 0.02)
+    return w.select("lp", "l", "b", F.round("w", 9).alias("w"))
 
 
 @register("sky_gnomonic", fx.sql("cube") + """, p AS (SELECT i, j, radians((j - 9) * 0.01) AS u, radians((i - 11) * 0.02) AS v, radians(-5.4) AS d FROM cube WHERE l = 0)

@@ -367,3 +367,63 @@ def scattered_nearest(spark, d):
     p = fx.cube(spark, d).where("l = 0").withColumn("k", (F.col("i") * fx.COLUMNS + F.col("j")).cast("int"))
     samples = p.select(F.col("k").alias("id"), (F.col("i") + F.col("j") % 3 * 0.2).alias("sx"), (F.col("j") + F.col("i") % 4 * 0.15).alias("sy"))
     return neighbours.nearest_sample(p.select(F.col("k").alias("t"), (F.col("i") + 0.37).alias("x"), (F.col("j") + 0.21).alias("y")), samples, 1.0)
+
+
+# Files, fields and channels ------------------------------------------------------------
+
+_HEADERS = _FILES + """, h AS (SELECT name, CAST(a * 8 AS BIGINT) AS k FROM f), b AS (SELECT * FROM (VALUES """ + ", ".join(f"('{b}', {v[0]})" for b, v in geo.BANDS.items()) + ") AS t(chan, n)), turn AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {v[4]})" for c, v in headers.CORRECTED.items()) + ") AS t(c, turn)) "
+
+
+@register("file_observations", _HEADERS + """SELECT name, chan, CAST(n AS INTEGER) AS n_slit, CAST(1 + k % 5 AS INTEGER) AS n_wavel, 4.9 + (k % 3) * 0.5 AS wavel_min, CAST(k AS DOUBLE) / 16 AS alpha, 0 - CAST(k AS DOUBLE) / 32 AS beta, round(turn + k % 360, 6) AS angle
+FROM h JOIN b ON chan = regexp_extract(name, 'ch([1-4][abc])', 1) JOIN turn ON c = substr(chan, 1, 1)""")
+def file_observations(spark, d):
+    """Files with instrument, axis, target and angle, all from name and header."""
+    k = (F.col("a") * 8).cast("long")
+    rows = _files(spark, d).select("name", (1 + k % 5).alias("NAXIS3"), (1 + k % 3).alias("CRPIX3"), F.lit(0.5).alias("CDELT3"), F.lit(4.9).alias("CRVAL3"), (k / 16.0).alias("RA_V1"), (-k / 32.0).alias("DEC_V1"), (k % 360).cast("double").alias("PA_V3"))
+    return headers.observations(rows).select("name", "chan", F.col("n_slit").cast("int").alias("n_slit"), F.size("axis").alias("n_wavel"), F.round(F.col("axis")[0], 6).alias("wavel_min"), "alpha", "beta", F.round("angle", 6).alias("angle"))
+
+
+@register("shifted_fields", "WITH " + _CUSTOMERS.replace("SELECT", "SELECT c_custkey AS t,", 1) + """, c AS (SELECT t, cos(radians(8.2)) * x + sin(radians(8.2)) * y + alpha - 0.25 AS a, cos(radians(8.2)) * y - sin(radians(8.2)) * x + beta + 0.5 AS b FROM pts, (VALUES (-1.6, -1.85), (1.6, -1.85), (1.6, 1.85), (-1.6, 1.85)) AS k(x, y))
+SELECT t, round(min(a), 6) AS a0, round(max(a), 6) AS a1, round(min(b), 6) AS b0, round(max(b), 6) AS b1 FROM c GROUP BY t""")
+def shifted_fields(spark, d):
+    """The first band's field at each pointing, less a common offset."""
+    k = F.col("c_custkey")
+    at = fx.table(spark, d, "customer").select(k.alias("t"), ((k % 41).cast("double") / 10 - 2 - 0.25).alias("alpha"), ((k % 29).cast("double") / 10 - 1.4 + 0.5).alias("beta"))
+    return at.select("t", *[F.round(c, 6).alias(n) for n, c in geo.field_box(F.lit(3.2), F.lit(3.7), 8.2, (F.col("alpha"), F.col("beta"))).items()])
+
+
+@register("channel_wavelengths", fx.sql("cube") + """, x AS (SELECT l, 5 + 0.25 * l AS x FROM range(0, 64) AS r(l)), cut AS (SELECT c, (SELECT l FROM x ORDER BY abs(x - c), l LIMIT 1) AS l FROM (VALUES (7.55), (11.63), (17.8)) AS t(c)
+), m AS (SELECT x.l, 1 + count(cut.l) AS chan FROM x LEFT JOIN cut ON x.l >= cut.l GROUP BY x.l) SELECT CAST(m.chan AS INTEGER) AS chan, cube.l, i, j, CASE WHEN mask.c IS NULL THEN 0 ELSE q END AS q FROM cube JOIN m ON m.l = cube.l LEFT JOIN (SELECT unnest([1, 2, 3]) AS c) mask ON mask.c = m.chan""")
+def channel_wavelengths(spark, d):
+    """Wavelengths by channel, cut at the samples nearest to fixed wavelengths; the last channel is masked out."""
+    axis = spark.range(fx.PLANES).select(F.col("id").cast("int").alias("idx"), (5 + 0.25 * F.col("id")).alias("x"))
+    cuts = spark.createDataFrame([(0, 7.55), (1, 11.63), (2, 17.8)], "t int, x double")
+    return selection.by_channel(fx.cube(spark, d).select("l", "i", "j", "q"), neighbours.nearest_on_axis(cuts, axis), [1, 2, 3], "q")
+
+
+@register("channel_rolls", fx.sql("cube") + "SELECT CAST(1 + l // 16 AS INTEGER) AS chan, CAST(CASE l // 16 WHEN 0 THEN (l % 16 + 10) % 16 WHEN 1 THEN (l % 16 + 9) % 16 ELSE l % 16 END AS INTEGER) AS s, i, j, q FROM cube")
+def channel_rolls(spark, d):
+    """Slices rolled by their channel's own number of places."""
+    c = fx.cube(spark, d).select((F.floor(F.col("l") / 16) + 1).cast("int").alias("chan"), (F.col("l") % 16).cast("int").alias("s"), "i", "j", "q")
+    return ordered.rolled(c, "chan", "s", {1: 10, 2: 9}, 16)
+
+
+@register("stuffed", fx.sql("cube", "templates") + ", z AS (SELECT m, k, CASE WHEN k % 3 = 0 THEN t ELSE 0 END AS t FROM templates JOIN (SELECT k, k // 3 AS l FROM range(0, 192) AS r(k)) USING (l)) SELECT m, CAST(k AS INTEGER) AS l, CAST(sum(t) OVER (PARTITION BY m ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS t FROM z")
+def stuffed(spark, d):
+    """Templates at three times the samples: zeros between, then a centred box kernel."""
+    return ordered.stuffed(fx.templates(fx.cube(spark, d)), "m", "l", "t", 3)
+
+
+_WAVES = "x AS (SELECT l, CAST(7.5 AS DOUBLE) + 0.004 * l AS x FROM range(-14, 78) AS r(l)), y AS (SELECT lp, CAST(7.52 AS DOUBLE) + 0.008 * lp AS y FROM range(0, 30) AS r(lp))"
+
+
+@register("instrument_response", "WITH " + _WAVES + """, z AS (SELECT lp, l, b, pi() * pi() * 3050 * (y - x - (0.008 / 0.196) * ((b - 3) * 0.025)) / y AS z FROM x, y, range(0, 7) AS r(b)
+), v AS (SELECT lp, l, b, CASE WHEN abs(z) < 1e-12 THEN 1.0 ELSE power(sin(z) / z, 2) END AS v FROM z)
+SELECT CAST(lp AS INTEGER) AS lp, CAST(l AS INTEGER) AS l, CAST(b AS INTEGER) AS b, w FROM (SELECT *, round(v / sum(v) OVER (PARTITION BY lp, b), 9) AS w FROM v) WHERE l BETWEEN 0 AND 63""")
+def instrument_response(spark, d):
+    """A band's response: columns about the middle of the slit, shifted by the detector's step over its pixel."""
+    band = geo.BANDS["2a"]
+    axis = lambda n, name, at, first, step: spark.range(n).select(F.col("id").cast("int").alias(name), (F.lit(float(first)) + F.col("id") * step).alias(at))
+    beta = spark.range(7).select(F.col("id").cast("int").alias("b"), ((F.col("id") - 3) * 0.025).alias("beta"))
+    w = dense.spectral_response(axis(64, "l", "x", 7.5, 0.004), axis(30, "lp", "y", 7.52, 0.008), beta, (band[1] + band[2]) / 2, 0.008 / band[3])
+    return w.select("lp", "l", "b", F.round("w", 9).alias("w"))

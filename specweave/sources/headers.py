@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specweave.functions.geometry import instruments
+from specweave.functions.geometry import axis_from_header, instruments
 
 #: Degrees added to the raw position angle, by channel.
 ROTATIONS = {"3": 7.5, "4": 8.3}
@@ -53,6 +53,17 @@ def dither_of(name: Column) -> Column:
     return F.when(found != "", found)
 
 
+def observations(headers: DataFrame) -> DataFrame:
+    """Files (name, NAXIS3, CRPIX3, CDELT3, CRVAL3, RA_V1, DEC_V1, PA_V3) as observations: instrument, axis, target and angle.
+
+    Adds the band's instrument, ``axis``, ``alpha``, ``beta`` and ``angle``,
+    the position angle and the channel's own.
+    """
+    axis = axis_from_header(F.col("NAXIS3"), F.col("CRPIX3"), F.col("CDELT3"), F.col("CRVAL3"))
+    turn = F.element_at(F.create_map(*[F.lit(x) for channel, values in CORRECTED.items() for x in (str(channel), values[4])]), F.substring("chan", 1, 1))
+    return with_instrument(headers).withColumns({"axis": axis, "alpha": F.col("RA_V1"), "beta": F.col("DEC_V1"), "angle": F.col("PA_V3") + turn}).drop("NAXIS3", "CRPIX3", "CDELT3", "CRVAL3", "RA_V1", "DEC_V1", "PA_V3")
+
+
 def with_instrument(files: DataFrame, name: str = "name") -> DataFrame:
     """Files with their band's instrument: slits, resolution, pixel, field of view."""
     return files.withColumn("chan", band_of(F.col(name))).join(F.broadcast(instruments(files.sparkSession)), "chan")
@@ -92,6 +103,6 @@ def assembled(arrays: DataFrame) -> DataFrame:
     named = arrays.withColumn("name", file_name(F.col("path"))).withColumn("chan", band_of(F.col("name")))
     order = named.select("path", "chan", "name").withColumn("p", F.row_number().over(Window.partitionBy("chan").orderBy("name", "path")) - 1)
     flat = named.select("path", F.col("shape")[1].alias("ns"), F.col("shape")[2].alias("na"), F.posexplode("data").alias("k", "y"))
-    return flat.join(F.broadcast(order.drop("name")), "path").select(
+    return flat.join(order.drop("name"), "path").select(
         "chan", "p", F.expr("(k div na) % ns").cast("int").alias("s"), F.expr("k div (ns * na)").cast("int").alias("lp"), (F.col("k") % F.col("na")).cast("int").alias("a"), F.nanvl("y", F.lit(None).cast("double")).alias("y")
     )
