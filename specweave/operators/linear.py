@@ -31,6 +31,17 @@ def unmix_cube(cube: DataFrame, templates: DataFrame, value: str = "v") -> DataF
     return apply_weights(cube, templates, ["l"], ["m", "i", "j"], value, "t", "a")
 
 
+def template_gram(templates: DataFrame) -> DataFrame:
+    """(m, n, g): the products of the templates, with which ``unmix_cube`` after ``mix_maps`` needs no cube."""
+    other = templates.select(F.col("m").alias("n"), "l", F.col("t").alias("_t"))
+    return templates.join(other, "l").groupBy("m", "n").agg(F.sum(F.col("t") * F.col("_t")).alias("g"))
+
+
+def mix_and_unmix(maps: DataFrame, gram: DataFrame) -> DataFrame:
+    """The adjoint of mixing after mixing: maps (m, i, j, v) to maps."""
+    return apply_weights(maps, gram, ["m"], ["n", "i", "j"], weight="g").withColumnRenamed("n", "m").select("m", "i", "j", "v")
+
+
 def circular_blur(cube: DataFrame, psf: DataFrame, grid: GridSpec, value: str = "v", transposed: bool = False) -> DataFrame:
     """Circular convolution of each plane with the offsets (di, dj, w).
 

@@ -623,16 +623,16 @@ def rotate_cube(spark, d):
 
 # Solvers -----------------------------------------------------------------------
 
-@register("cg_recover")
+@register("cg_recover", fx.sql("cube", "templates", "size") + ", " + fx.solver_sql([(10, None)], 0.1) + " SELECT m, i, j, round(v, 5) + 0.0 AS v FROM found")
 def cg_recover(spark, d):
     """Maps from a cube by ten conjugate-gradient steps."""
     c, g = fx.cube(spark, d), _grid(spark, d)
     t = materialize(fx.templates(c).select("m", "l", (F.col("t") / 1000.0).alias("t")), "templates")
-    forward = lambda x: linear.mix_maps(x.withColumnRenamed("v", "a"), t)
-    adjoint = lambda y: linear.unmix_cube(y, t, "v").withColumnRenamed("a", "v")
+    gram = materialize(linear.template_gram(t), "gram")
     keys = ["m", "i", "j"]
-    right = materialize(adjoint(c.select("l", "i", "j", "v")), "right")
-    return solvers.conjugate_gradient(solvers.quadratic_normal(forward, adjoint, keys, 1.0, 0.1, g.rows, g.columns), right, keys, 10)
+    right = materialize(linear.unmix_cube(c, t).withColumnRenamed("a", "v"), "right")
+    normal = solvers.quadratic_normal(lambda x: linear.mix_and_unmix(x, gram), lambda y: y, keys, 1.0, 0.1, g.rows, g.columns)
+    return solvers.conjugate_gradient(normal, right, keys, 10).withColumn("v", F.round("v", 5) + 0.0)
 
 
 @register("expsol")

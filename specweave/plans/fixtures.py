@@ -65,6 +65,44 @@ def sql(*names: str) -> str:
     return "WITH " + ",\n".join(SQL[n] for n in names)
 
 
+def solver_sql(rounds: list[tuple[int, float | None]], mu: float) -> str:
+    """Conjugate-gradient steps of the mixing problem (relations cube and templates / 1000), as common table expressions.
+
+    Each round is (steps, threshold): the differences over both axes weigh
+    min(1, threshold / |difference of the round's start|), or 1 without a
+    threshold, times ``mu``. The last relation is ``found (m, i, j, v)``.
+    """
+    parts = ["tt AS MATERIALIZED (SELECT m, l, t / 1000.0 AS t FROM templates)", "b AS MATERIALIZED (SELECT m, i, j, sum(v * t) AS v FROM cube JOIN tt USING (l) GROUP BY m, i, j)"]
+    here = {"i": ("(a.i - 1 + n) % n", "a.j"), "j": ("a.i", "(a.j - 1 + 25) % 25")}
+
+    def normal(name: str, of: str, column: str, weights: str | None) -> None:
+        terms = [f"SELECT m, i, j, sum(h.v * t) AS v FROM (SELECT l, i, j, sum({column} * t) AS v FROM {of} JOIN tt USING (m) GROUP BY l, i, j) h JOIN tt USING (l) GROUP BY m, i, j"]
+        for axis, (i, j) in here.items():
+            y = f"{mu} * (z.{column} - a.{column})" + (f" * w.of_{axis}" if weights else "")
+            bent = f"FROM {of} a JOIN size ON true JOIN {of} z ON z.m = a.m AND z.i = {i} AND z.j = {j}" + (f" JOIN {weights} w ON w.m = a.m AND w.i = a.i AND w.j = a.j" if weights else "")
+            terms += [f"SELECT a.m, a.i, a.j, -({y}) {bent}", f"SELECT a.m, {i}, {j}, {y} {bent}"]
+        parts.append(f"{name} AS MATERIALIZED (SELECT m, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, sum(v) AS q FROM (" + " UNION ALL ".join(terms) + ") GROUP BY ALL)")
+
+    state, k, weights = "s0", 0, None
+    parts.append("s0 AS MATERIALIZED (SELECT m, i, j, 0.0 AS x, v AS r, v AS p FROM b)")
+    for number, (steps, threshold) in enumerate(rounds):
+        if number:
+            if threshold is not None:
+                weights = f"w{number}"
+                columns = ", ".join(f"least(1.0, coalesce({threshold} / nullif(abs({axis}.x - a.x), 0), 1.0)) AS of_{axis}" for axis in here)
+                joins = " ".join(f"JOIN {state} {axis} ON {axis}.m = a.m AND {axis}.i = {i} AND {axis}.j = {j}" for axis, (i, j) in here.items())
+                parts.append(f"{weights} AS MATERIALIZED (SELECT a.m, a.i, a.j, {columns} FROM {state} a JOIN size ON true {joins})")
+            normal(f"n{number}", state, "x", weights)
+            parts.append(f"s{k + 1} AS MATERIALIZED (SELECT m, i, j, x, b.v - q AS r, b.v - q AS p FROM {state} JOIN n{number} USING (m, i, j) JOIN b USING (m, i, j))")
+            k, state = k + 1, f"s{k + 1}"
+        for _ in range(steps):
+            normal(f"q{k}", state, "p", weights)
+            parts.append(f"c{k} AS MATERIALIZED (SELECT sum(p * q) AS pq, sum(p * r) / sum(p * q) AS step, sum(r * q) AS rq, sum(q * q) AS qq FROM {state} JOIN q{k} USING (m, i, j))")
+            parts.append(f"s{k + 1} AS MATERIALIZED (SELECT m, i, j, x + step * p AS x, r - step * q AS r, r - step * q - (rq - step * qq) / pq * p AS p FROM {state} JOIN q{k} USING (m, i, j), c{k})")
+            k, state = k + 1, f"s{k + 1}"
+    return ",\n".join([*parts, f"found AS (SELECT m, i, j, x AS v FROM {state})"])
+
+
 def psf(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 0, 4), (0, 1, 2), (0, -1, 1), (1, 0, 2), (-1, 0, 1)], "di int, dj int, w int")
 

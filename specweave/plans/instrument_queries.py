@@ -180,11 +180,10 @@ def rotate_cubic(spark, d):
 
 # Fits ---------------------------------------------------------------------------
 
-@register("huber_recover")
+@register("huber_recover", fx.sql("cube", "templates", "size") + ", " + fx.solver_sql([(5, None), (5, 0.05), (5, 0.05), (5, 0.05)], 0.1) + " SELECT m, i, j, round(v, 5) + 0.0 AS v FROM found")
 def huber_recover(spark, d):
     c, g = fx.cube(spark, d), _grid(spark, d)
     t = materialize(fx.templates(c).select("m", "l", (F.col("t") / 1000.0).alias("t")), "templates")
-    forward = lambda x: linear.mix_maps(x.withColumnRenamed("v", "a"), t)
-    adjoint = lambda y: linear.unmix_cube(y, t, "v").withColumnRenamed("a", "v")
-    right = materialize(adjoint(c.select("l", "i", "j", "v")), "right")
-    return solvers.huber_maps(forward, adjoint, right, ["m", "i", "j"], 0.1, 0.05, g.rows, g.columns)
+    gram = materialize(linear.template_gram(t), "gram")
+    right = materialize(linear.unmix_cube(c, t).withColumnRenamed("a", "v"), "right")
+    return solvers.huber_maps(lambda x: linear.mix_and_unmix(x, gram), lambda y: y, right, ["m", "i", "j"], 0.1, 0.05, g.rows, g.columns).withColumn("v", F.round("v", 5) + 0.0)
