@@ -6,8 +6,9 @@ the sources' cumulative weights, give each slot of the mix a source, and the
 slot of rank k within its source takes the source's block k modulo its
 number of blocks. All of it is DataFrame operations.
 
-Running sums go in two levels, over hash ranges of bounded size and then
-within them, so that a source with most of the rows is never in one task.
+Running sums go in two levels, over ranges of bounded size and then within
+them, so that neither a source with most of the rows nor a table of very
+many sources is ever in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specweave.llm.words import WORD
+from specweave.operators.ordered import ranked
 from specweave.runtime import materialize
 
 #: The golden ratio's fraction in 64 bits (a fixed value), and slots whose points are exact to 1e-10 in one product.
@@ -26,7 +28,8 @@ GOLDEN, SPAN = 0x9E3779B97F4A7C15, 1 << 20
 BLOCK_WORDS, LEAST_BLOCKS = 4096, 256
 #: Slots whose ranks one window counts, and rows that one hash range holds on average.
 SLOT_RANGE, RANGE_ROWS = 1 << 16, 2000
-CELLS = 4096
+#: Intervals that the points are looked up by, at least, and sources whose slots one window adds up.
+CELLS, SOURCE_RANGE = 4096, 1 << 16
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -44,22 +47,22 @@ def targets(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tup
 
     Sources come by code point, null last, and the weights repeat. A source
     whose share by weight is above ``most`` times its size stops there, and
-    what it leaves is shared anew. With the sources in order of the level at
-    which each stops, running sums give the level that the rest end at.
+    what it leaves is shared anew. The level rises from round to round; each
+    takes the sums of the sources that stop below it and of the others, and
+    a round that stops no more of them is the last.
     """
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    s = rows.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("source_no", F.row_number().over(by_name))
+    s = ranked(rows.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").isNull(), F.col("source")], "source_no")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    s = s.withColumn("weight", F.element_at(cycle, (F.col("source_no") - 1) % len(weights) + 1)).withColumn("stop", F.col("source_size") * most)
-    s = s.withColumn("stops_at", F.col("stop") / F.col("weight"))
-    in_order = Window.orderBy("stops_at", "source_no")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = in_order.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(whole) * share
-    s = s.withColumn("level", (total - F.coalesce(F.sum("stop").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    open_level = F.first(F.when(F.col("stops_at") >= F.col("level"), F.col("level")), ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return s.withColumn("target", F.when(F.col("stops_at") > open_level, F.col("weight") * open_level).otherwise(F.col("stop"))).select("source", "source_no", "weight", "source_size", "target")
+    s = s.withColumn("weight", F.element_at(cycle, ((F.col("source_no") - 1) % len(weights) + 1).cast("int"))).withColumn("stop", F.col("source_size") * most)
+    s = materialize(s.withColumn("stops_at", F.col("stop") / F.col("weight")), "targets")
+    level, stopped = -1.0, -1
+    while True:
+        below = F.col("stops_at") <= F.lit(level)
+        got = s.agg(F.sum("source_size"), F.sum(F.when(below, F.col("stop"))), F.sum(F.when(~below, F.col("weight"))), F.count(F.when(below, 1))).first()
+        if got[3] == stopped or not got[2]:
+            break
+        level, stopped = (got[0] * share - (got[1] or 0.0)) / got[2], got[3]
+    return s.withColumn("target", F.when(F.col("stops_at") > F.lit(level), F.col("weight") * F.lit(level)).otherwise(F.col("stop"))).select("source", "source_no", "weight", "source_size", "target")
 
 
 def _cut(sources: DataFrame) -> DataFrame:
@@ -68,9 +71,11 @@ def _cut(sources: DataFrame) -> DataFrame:
     n = F.when(size > 0, F.least(size, F.greatest(F.lit(LEAST_BLOCKS).cast("long"), F.ceil(size / BLOCK_WORDS)))).otherwise(F.lit(0).cast("long"))
     s = sources.withColumn("blocks", n)
     s = s.withColumn("base", F.when(size > 0, F.expr("source_size div blocks")).otherwise(F.lit(1).cast("long"))).withColumn("extra", F.when(size > 0, F.expr("source_size % blocks")).otherwise(F.lit(0).cast("long")))
-    s = s.withColumn("due", F.when(size > 0, F.round(F.col("target") * F.col("blocks") / size).cast("long")).otherwise(F.lit(0).cast("long")))
-    upto, whole = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("all_due", F.sum("due").over(whole)).withColumn("upto", F.sum("due").over(upto))
+    s = s.withColumn("due", F.when(size > 0, F.round(F.col("target") * F.col("blocks") / size).cast("long")).otherwise(F.lit(0).cast("long"))).withColumn("part", F.expr(f"source_no div {SOURCE_RANGE}"))
+    before, whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = s.groupBy("part").agg(F.sum("due").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.sum("n").over(whole).alias("all_due"))
+    own = Window.partitionBy("part").orderBy("source_no").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("own", F.sum("due").over(own)).join(parts, "part").withColumn("upto", F.col("start") + F.col("own")).drop("part", "own", "start")
     return s.withColumn("lo", F.coalesce(F.try_divide(F.col("upto") - F.col("due"), "all_due"), F.lit(0.0))).withColumn("hi", F.coalesce(F.try_divide("upto", "all_due"), F.lit(0.0)))
 
 
@@ -88,10 +93,11 @@ def schedule(sources: DataFrame) -> DataFrame:
     as a source's share of the points strays from its weight by a few slots;
     ranks that a source is not due are left out.
     """
-    due = sources.agg(F.coalesce(F.max("all_due"), F.lit(0))).first()[0]
+    due, n = sources.agg(F.coalesce(F.max("all_due"), F.lit(0)), F.count("*")).first()
+    cells_ = max(CELLS, 1 << n.bit_length())
     slots = sources.sparkSession.range(0, due + due // 500 + 64 if due else 0).withColumnRenamed("id", "slot")
-    slots = slots.withColumn("point", _point(F.col("slot"))).withColumn("cell", F.floor(F.col("point") * CELLS).cast("int"))
-    cells = sources.where("due > 0").select("source_no", "blocks", "due", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.floor(F.col("hi") * CELLS).cast("int"))).alias("cell"))
+    slots = slots.withColumn("point", _point(F.col("slot"))).withColumn("cell", F.floor(F.col("point") * cells_).cast("int"))
+    cells = sources.where("due > 0").select("source_no", "blocks", "due", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells_).cast("int"), F.floor(F.col("hi") * cells_).cast("int"))).alias("cell"))
     dealt = slots.join(cells, "cell").where("point >= lo and point < hi").select("slot", "source_no", "blocks", "due", F.expr(f"slot div {SLOT_RANGE}").alias("part"))
     parts = dealt.groupBy("source_no", "part").agg(F.count("*").alias("n"))
     parts = parts.select("source_no", "part", F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

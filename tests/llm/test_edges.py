@@ -193,3 +193,25 @@ def test_every_row_repeated(spark):
     out = near_dup.near_duplicates(frame, Fraction(85, 100), 3).collect()
     assert len(out) == 18 and {(x.doc_id, x.component_id) for x in out} == {(k, 0) for k in range(6)}
     assert near_dup.deduplicate(frame).count() == 1
+
+
+def test_very_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCE_RANGE", 16)
+    monkeypatch.setattr(mixing, "CELLS", 4)
+    rows = [(k, "w " * (1 + k % 7), f"site{k % 300:03d}" if k % 301 else None) for k in range(2000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {k: s for k, _, s in rows}
+    size, taken, target = Counter(), Counter(), {}
+    for x in out:
+        size[source[x.doc_id]] += x["size"]
+        taken[source[x.doc_id]] += x.taken
+        target[source[x.doc_id]] = x.target
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    want, left, rest = {}, 1.5 * sum(size.values()), list(names)
+    while rest:
+        full = [s for s in rest if weight[s] * left / sum(weight[x] for x in rest) > 2 * size[s]]
+        want |= {s: 2 * size[s] for s in full} if full else {s: weight[s] * left / sum(weight[x] for x in rest) for s in rest}
+        left -= sum(2 * size[s] for s in full)
+        rest = [s for s in rest if s not in full] if full else []
+    assert all(target[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 2 for s in names)
