@@ -637,13 +637,20 @@ def cg_recover(spark, d):
 
 @register("expsol")
 def expsol(spark, d):
+    """Maps that a mixed and blurred cube comes from, by one small system a frequency."""
     c, g = fx.cube(spark, d), _grid(spark, d)
     t = {(r.m, r.l): r.t / 1000 for r in fx.templates(c).collect()}
     names = sorted({m for m, _ in t})
     s = np.array([[t[m, k] for k in range(fx.PLANES)] for m in names])
     number = spark.createDataFrame(list(enumerate(names)), "l int, m int")
-    stacked = schema.planes(fx.maps(c).join(number, "m").select("l", "i", "j", (F.col("a") / 1e6).alias("v")))
-    return schema.from_planes(dense.closed_form_maps(stacked, s, np.ones((g.rows, g.columns // 2 + 1)), g, 0.1), g)
+    share = fx.psf(spark).withColumn("w", F.col("w") / 10)
+    kernel = np.zeros((g.rows, g.columns))
+    for di, dj, w in share.collect():
+        kernel[di % g.rows, dj % g.columns] += w
+    back = linear.circular_blur(c.select("l", "i", "j", "v"), share, g, transposed=True)
+    right = linear.unmix_cube(back, fx.templates(c).withColumn("t", F.col("t") / 1000.0))
+    stacked = schema.planes(right.join(F.broadcast(number), "m").select("l", "i", "j", F.col("a").alias("v")))
+    return schema.from_planes(dense.closed_form_maps(stacked, s, np.fft.rfft2(kernel), g, 0.1), g)
 
 
 @register("nmf")

@@ -34,3 +34,22 @@ def test_composite_model_equals_a_plain_one_and_its_adjoint(spark, tmp_path):
     assert [got.get(k, 0.0) for k in want] == list(want.values())
     dots = registry.QUERIES["dot_mcmo"](spark, d).first()
     assert dots.y_hx != 0 and dots.y_hx == dots.hty_x
+
+
+def test_closed_form_solves_the_normal_equations(spark, tmp_path):
+    r = np.random.default_rng(9)
+    x = np.round(r.normal(0, 0.3, (6 * 25, 64)), 3).astype(np.float32)
+    rows = [(k, [float(v) for v in x[k]], k % 3) for k in range(len(x))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = str(tmp_path)
+    a = np.zeros((3, 6, 25))
+    for o in registry.QUERIES["expsol"](spark, d).collect():
+        a[o.l, o.i, o.j] = o.v
+    q = np.round(x.astype(float) * 1000)
+    s = np.array([np.floor(q[m::3].sum(0) / len(q[m::3])) for m in range(3)]) / 1000
+    taps = [(o.di, o.dj, o.w / 10) for o in fx.psf(spark).collect()]
+    blur = lambda z, sign: sum(w * np.roll(z, (sign * di, sign * dj), (1, 2)) for di, dj, w in taps)
+    unmix = lambda z: np.einsum("ml,lij->mij", s, blur(z, -1))
+    rough = 4 * a - sum(np.roll(a, k, axis) for k in (1, -1) for axis in (1, 2))
+    cube = x.T.reshape(64, 6, 25).astype(float)
+    assert np.allclose(unmix(blur(np.einsum("mij,ml->lij", a, s), 1)) + 0.1 * rough, unmix(cube), atol=1e-7)
