@@ -9,11 +9,12 @@ from specweave import schema
 from specweave.functions import geometry as geo
 from specweave.operators import dense, linear, metrics, model, neighbours, ordered, selection
 from specweave.plans import fixtures as fx
+from specweave.plans import fusion
 from specweave.plans.cube_queries import INSIDE
 from specweave.plans.instrument_queries import _FILES, _files
 from specweave.plans.registry import register
 from specweave.runtime import materialize
-from specweave.sources import headers
+from specweave.sources import files, headers, simulation
 
 #: Two channels of two pointings each: (channel, pointing, offsets along alpha and beta, first wavelength and one past the last).
 OBSERVATIONS = [("a", 0, 0.25, 0.5, 0, 40), ("a", 1, 0.75, 0.25, 0, 40), ("b", 0, 0.5, 0.25, 24, 64), ("b", 1, 0.0, 0.75, 24, 64)]
@@ -427,3 +428,60 @@ def instrument_response(spark, d):
     beta = spark.range(7).select(F.col("id").cast("int").alias("b"), ((F.col("id") - 3) * 0.025).alias("beta"))
     w = dense.spectral_response(axis(64, "l", "x", 7.5, 0.004), axis(30, "lp", "y", 7.52, 0.008), beta, (band[1] + band[2]) / 2, 0.008 / band[3])
     return w.select("lp", "l", "b", F.round("w", 9).alias("w"))
+
+
+# Files as tables --------------------------------------------------------------------------
+
+def _cubes(spark, d):
+    """The cube as four files of sixteen planes."""
+    return fx.cube(spark, d).select(F.concat(F.lit("cube_"), F.floor(F.col("l") / 16).cast("string")).alias("path"), (F.col("l") % 16).alias("l"), "i", "j", "v")
+
+
+@register("fits_cube", fx.sql("cube") + "SELECT l, i, j, v FROM cube")
+def fits_cube(spark, d):
+    """The cube written as FITS files and read again."""
+    units = files.fits_units(files.packed_cubes(_cubes(spark, d))).where("unit = 1")
+    return files.unfolded(units).select((F.substring_index("path", "_", -1).cast("int") * 16 + F.col("l")).alias("l"), "i", "j", "v")
+
+
+@register("npy_cube", fx.sql("cube") + "SELECT l, i, j, v FROM cube")
+def npy_cube(spark, d):
+    arrays = files.npy_arrays(files.packed_cubes(_cubes(spark, d), "npy"))
+    return files.unfolded(arrays).select((F.substring_index("path", "_", -1).cast("int") * 16 + F.col("l")).alias("l"), "i", "j", "v")
+
+
+@register("fits_targets", "SELECT 'f' || c_custkey AS path, CAST(c_custkey AS DOUBLE) / 16 AS alpha, 0 - CAST(c_custkey AS DOUBLE) / 32 AS beta, CAST(c_custkey AS DOUBLE) / 8 AS corrected_alpha, 0 - CAST(c_custkey AS DOUBLE) / 64 AS corrected_beta FROM customer")
+def fits_targets(spark, d):
+    """Targets of raw and of corrected files, from the names that each kind of header has."""
+    k = F.col("c_custkey").cast("double")
+    rows = fx.table(spark, d, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("path"), (k / 16).alias("RA_V1"), (0.0 - k / 32).alias("DEC_V1"), (k / 8).alias("TARG_RA"), (0.0 - k / 64).alias("TARG_DEC"))
+    units = files.fits_units(files.packed_headers(rows, ["RA_V1", "DEC_V1", "TARG_RA", "TARG_DEC"]))
+    corrected = files.header_target(units, 0, "TARG_RA", "TARG_DEC").withColumnsRenamed({"alpha": "corrected_alpha", "beta": "corrected_beta"})
+    return files.header_target(units, 1, "RA_V1", "DEC_V1").join(corrected, "path")
+
+
+@register("assembled_slices", """WITH f AS (SELECT chan, p, k, CASE WHEN k % 17 = 0 THEN NULL ELSE CAST((k * 7 + p * 13) % 101 AS DOUBLE) END AS y FROM (VALUES ('1a'), ('3c')) AS t(chan), range(0, 8) AS u(p), range(0, 60) AS v(k))
+SELECT chan, CAST(p AS INTEGER) AS p, CAST(k // 4 % 3 AS INTEGER) AS s, CAST(k // 12 AS INTEGER) AS lp, CAST(k % 4 AS INTEGER) AS a, y FROM f""")
+def assembled_slices(spark, d):
+    """Files of [lambda, slit, alpha] by band and in order of name, as slices."""
+    k = F.sequence(F.lit(0), F.lit(59))
+    named = spark.range(16).select(F.when(F.col("id") < 8, "1a").otherwise("3c").alias("chan"), (F.col("id") % 8).alias("p"))
+    data = F.transform(k, lambda x: F.when(x % 17 == 0, float("nan")).otherwise(((x * 7 + F.col("p") * 13) % 101).cast("double")))
+    arrays = named.select(F.concat(F.lit("in/x_ch"), "chan", F.lit("_0"), F.col("p").cast("string"), F.lit(".npy")).alias("path"), F.array(F.lit(5), F.lit(3), F.lit(4)).alias("shape"), data.alias("data"))
+    return headers.assembled(arrays).select("chan", F.col("p").cast("int").alias("p"), "s", "lp", F.col("a").cast("int").alias("a"), "y")
+
+
+@register("scene_maps", fx.sql("cube", "templates", "maps", "size") + """, small AS (SELECT m, CAST(ceil(i / 4.0) AS INTEGER) AS i, CAST(ceil(j / 4.0) AS INTEGER) AS j, sum(a) / 16.0 AS a FROM maps GROUP BY ALL), e AS (SELECT n, ((n + 3) // 4 - 4 + 1) // 2 AS first FROM size)
+SELECT m, CAST(i - first AS INTEGER) AS i, CAST(j - 2 AS INTEGER) AS j, a FROM small, e WHERE i * 4 < n AND j * 4 < 25 AND i >= first AND i < first + 4 AND j >= 2 AND j < 6""")
+def scene_maps(spark, d):
+    """Maps averaged over four pixels a side, and their middle."""
+    c = fx.cube(spark, d)
+    return simulation.scene(fx.maps(c), fx.templates(c), fx.rows_of(spark, d), fx.COLUMNS, 4, 4)[0].select("m", "i", "j", "a")
+
+
+@register("flux_scaled", fx.sql("cube", "slits", "size") + "SELECT j AS s, l AS lp, i, round(q * tw * 3, 6) AS v FROM cube JOIN (SELECT s, sum(w) AS tw FROM slits WHERE j < 24 GROUP BY s) t ON t.s = j WHERE l < 32")
+def flux_scaled(spark, d):
+    """Samples per solid angle as flux, for the solver."""
+    slits = linear.slit_weights(spark, SLITS, WIDTH, 2).where(f"j < {fx.COLUMNS - 1}").select(F.lit("a").alias("chan"), "s", F.col("i").alias("a"), F.col("j").alias("b"), "w")
+    samples = fx.cube(spark, d).where(f"l < 32 and j < {SLITS}").select(F.lit("a").alias("chan"), F.col("j").alias("s"), F.col("l").alias("lp"), "i", F.col("q").alias("v"))
+    return fusion.to_flux(samples, slits, FACTOR).select("s", "lp", "i", F.round("v", 6).alias("v"))

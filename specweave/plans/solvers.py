@@ -237,6 +237,11 @@ def non_negative_factors(pixels: DataFrame, k: int, rounds: int = 50, seed: int
     return pixels.mapInArrow(run, "i int, j int, a array<double>"), h, error
 
 
+def factor_errors(pixels: DataFrame, ranks: list[int], rounds: int = 50) -> dict[int, float]:
+    """The error's norm of ``non_negative_factors`` for each number of templates."""
+    return {k: non_negative_factors(pixels, k, rounds)[2] for k in ranks}
+
+
 def endmembers(pixels: DataFrame, k: int, sweeps: int = 3) -> list:
     """Pixels of the simplex of largest volume in the first k - 1 components.
 

@@ -84,8 +84,8 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_fits(spark: SparkSession, path: str) -> DataFrame:
-    """One row a unit: path, unit, header, shape and values (null without an image)."""
+def fits_units(contents: DataFrame) -> DataFrame:
+    """One row a unit of files (path, content): path, unit, header, shape and values (null without an image)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("path", pa.string()), ("unit", pa.int32()), ("header", pa.map_(pa.string(), pa.string())), ("shape", pa.list_(pa.int32())), ("data", pa.list_(pa.float64()))])
@@ -94,16 +94,51 @@ def read_fits(spark: SparkSession, path: str) -> DataFrame:
                 rows = [{"path": name, "unit": k, "header": list(h.items()), "shape": s, "data": None if d is None else d.ravel()} for k, (h, s, d) in enumerate(parse_fits(content))]
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return _binary(spark, path).mapInArrow(run, "path string, unit int, header map<string,string>, shape array<int>, data array<double>")
+    return contents.mapInArrow(run, "path string, unit int, header map<string,string>, shape array<int>, data array<double>")
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
+def read_fits(spark: SparkSession, path: str) -> DataFrame:
+    return fits_units(_binary(spark, path))
+
+
+def npy_arrays(contents: DataFrame) -> DataFrame:
+    """The array of each NPY file (path, content): path, shape and values."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = [np.load(io.BytesIO(c), allow_pickle=False) for c in batch.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([list(a.shape) for a in arrays], pa.list_(pa.int32())), pa.array([a.astype(float).ravel() for a in arrays], pa.list_(pa.float64()))], names=["path", "shape", "data"])
 
-    return _binary(spark, path).mapInArrow(run, "path string, shape array<int>, data array<double>")
+    return contents.mapInArrow(run, "path string, shape array<int>, data array<double>")
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    return npy_arrays(_binary(spark, path))
+
+
+def packed_cubes(cubes: DataFrame, kind: str = "fits") -> DataFrame:
+    """Files (path, content) of cubes (path, l, i, j, v), each from l, i, j = 0 and whole: FITS with an empty first unit, or NPY."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("l", "i", "j")])
+        shape = [table.column(c)[-1].as_py() + 1 for c in ("l", "i", "j")]
+        array = table.column("v").to_numpy().astype(float).reshape(shape)
+        content = fits_bytes([({}, None), ({"CRPIX3": 1.0}, array)]) if kind == "fits" else npy_bytes(array)
+        return pa.table({"path": table.column("path").slice(0, 1), "content": pa.array([content], pa.binary())})
+
+    return cubes.select("path", "l", "i", "j", F.col("v").cast("double").alias("v")).groupBy("path").applyInArrow(lambda t: run(t), "path string, content binary")
+
+
+def packed_headers(rows: DataFrame, cards: list[str]) -> DataFrame:
+    """FITS files (path, content) without images, with the columns ``cards`` in both of their headers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [batch.column(c).to_pylist() for c in cards]
+            content = [fits_bytes([(h := dict(zip(cards, row, strict=True)), None), (h, None)]) for row in zip(*values, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(content, pa.binary())], names=["path", "content"])
+
+    return rows.select("path", *cards).mapInArrow(run, "path string, content binary")
 
 
 def read_dithers(spark: SparkSession, path: str) -> DataFrame:

@@ -201,6 +201,8 @@ def test_factors_and_endmembers(spark):
     r = np.random.default_rng(6)
     h, w = r.random((2, 12)), r.random((40, 2))
     px = spark.createDataFrame([(k, 0, [float(v) for v in row]) for k, row in enumerate(w @ h)], "i int, j int, spectrum array<double>")
+    sweep = solvers.factor_errors(px, [1, 2], 8)
+    assert sweep[2] < sweep[1]
     _, _, early = solvers.non_negative_factors(px.repartition(3), 2, rounds=5)
     parts, templates, error = solvers.non_negative_factors(px.repartition(3), 2)
     got = np.array([r.a for r in parts.orderBy("i").collect()])

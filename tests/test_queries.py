@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from specweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FEW = ["lmm_cube2maps", "lmm_maps2cube", "circ_conv_adj", "wblur_t", "bilinear_adj", "dot_identity", "forward_mcmo", "adjoint_mcmo", "dot_mcmo", "plane_adjoint", "degridding", "coverage_mask", "detector_shapes", "view_of_all", "corrected_instrument", "distance_order", "nearest_lambda", "fourier_resample", "ssim", "fractional_slits", "random_thinning", "median_filter_11", "polygon_mean", "components", "shepard", "nearest_fill", "slit_table", "header_join", "repair_low", "masked_normal", "hessian_apply", "corrected_slices", "copied_targets", "spectral_response"]
+FEW = ["lmm_cube2maps", "lmm_maps2cube", "circ_conv_adj", "wblur_t", "bilinear_adj", "dot_identity", "forward_mcmo", "adjoint_mcmo", "dot_mcmo", "plane_adjoint", "degridding", "coverage_mask", "detector_shapes", "fits_cube", "npy_cube", "fits_targets", "assembled_slices", "scene_maps", "cg_recover", "view_of_all", "corrected_instrument", "distance_order", "nearest_lambda", "fourier_resample", "ssim", "fractional_slits", "random_thinning", "median_filter_11", "polygon_mean", "components", "shepard", "nearest_fill", "slit_table", "header_join", "repair_low", "masked_normal", "hessian_apply", "corrected_slices", "copied_targets", "spectral_response"]
 
 
 @pytest.mark.parametrize("name", FEW)
