@@ -136,7 +136,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, id_column: str = "vec_
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     named = classes.join(counts, "cid", "left").join(component, classes.cid == component.node, "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), "component_id")
-    out = signed.withColumn("e", F.when(F.col("sound"), F.col("embedding"))).drop("embedding").join(named, "e", "left")
+    # Vectors find their class by 128 bits of hashes, not by their components.
+    keys = [F.xxhash64(F.lit(seed), "embedding").alias(f"h{seed}") for seed in (1, 2)]
+    named = named.join(smallest, "component").select(*keys, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), "component_id")
+    own = [F.when(F.col("sound"), k).alias(f"h{seed}") for seed, k in zip((1, 2), keys, strict=True)]
+    out = signed.select("vec_id", *own).join(named, ["h1", "h2"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
