@@ -80,7 +80,14 @@ def fourier_resample(pixels: DataFrame, samples: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.fft.irfft(np.fft.rfft(v.values.to_numpy())[: samples // 2 + 1], samples) if v.is_valid and len(v.values) else None for v in batch.column("spectrum")]
+            column = batch.column("spectrum")
+            length = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            out: list[np.ndarray | None] = [None] * len(column)
+            for n in np.unique(length[length > 0]):
+                at = np.flatnonzero(length == n)
+                x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                for k, y in zip(at, np.fft.irfft(np.fft.rfft(x)[:, : samples // 2 + 1], samples), strict=True):
+                    out[k] = y
             yield batch.set_column(batch.schema.get_field_index("spectrum"), "spectrum", pa.array(out, pa.list_(pa.float64())))
 
     return pixels.mapInArrow(run, "i int, j int, spectrum array<double>")

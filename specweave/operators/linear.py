@@ -38,8 +38,8 @@ def template_gram(templates: DataFrame) -> DataFrame:
 
 
 def mix_and_unmix(maps: DataFrame, gram: DataFrame) -> DataFrame:
-    """The adjoint of mixing after mixing: maps (m, i, j, v) to maps."""
-    return apply_weights(maps, gram, ["m"], ["n", "i", "j"], weight="g").withColumnRenamed("n", "m").select("m", "i", "j", "v")
+    """The adjoint of mixing after mixing: maps (m, i, j, v) to the terms of maps, which add up by (m, i, j)."""
+    return maps.join(gram, "m").select(F.col("n").alias("m"), "i", "j", (F.col("v") * F.col("g")).alias("v"))
 
 
 def circular_blur(cube: DataFrame, psf: DataFrame, grid: GridSpec, value: str = "v", transposed: bool = False) -> DataFrame:
@@ -48,10 +48,15 @@ def circular_blur(cube: DataFrame, psf: DataFrame, grid: GridSpec, value: str =
     Every value goes to the few places that the kernel reaches. The adjoint
     turns the offsets round.
     """
+    return circular_terms(cube, psf, grid, value, transposed).groupBy("l", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def circular_terms(cube: DataFrame, psf: DataFrame, grid: GridSpec, value: str = "v", transposed: bool = False) -> DataFrame:
+    """The terms of ``circular_blur``, which add up by (l, i, j)."""
     sign = -1 if transposed else 1
     spread = cube.join(psf, on=F.lit(True)) if "l" not in psf.columns else cube.join(psf, "l")
     at = lambda x, d, n: F.pmod(F.col(x) + sign * F.col(d), F.lit(n)).alias(x)
-    return spread.select("l", at("i", "di", grid.rows), at("j", "dj", grid.columns), (F.col(value) * F.col("w")).alias("v")).groupBy("l", "i", "j").agg(F.sum("v").alias("v"))
+    return spread.select("l", at("i", "di", grid.rows), at("j", "dj", grid.columns), (F.col(value) * F.col("w")).alias("v"))
 
 
 def spectral_blur(slices: DataFrame, wpsf: DataFrame, value: str = "v", sum_columns: bool = False) -> DataFrame:
@@ -155,8 +160,11 @@ def difference(cube: DataFrame, axis: str, n: int, value: str = "v", transposed:
 
 def laplacian(cube: DataFrame, grid: GridSpec, value: str = "v") -> DataFrame:
     """The circular five-point Laplacian of each plane; it is its own adjoint."""
-    stencil = cube.sparkSession.createDataFrame([(0, 0, 4), (0, 1, -1), (0, -1, -1), (1, 0, -1), (-1, 0, -1)], "di int, dj int, w int")
-    return circular_blur(cube, stencil, grid, value)
+    return circular_blur(cube, laplacian_stencil(cube.sparkSession), grid, value)
+
+
+def laplacian_stencil(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, 0, 4), (0, 1, -1), (0, -1, -1), (1, 0, -1), (-1, 0, -1)], "di int, dj int, w int")
 
 
 def dot(x: DataFrame, y: DataFrame, on: list[str], x_value: str = "v", y_value: str = "v") -> DataFrame:

@@ -29,8 +29,8 @@ def corrected_slices(samples: DataFrame, axis: DataFrame, alphas: int, high: flo
     apart = F.col("s") * (alphas + 8.0 * cutoff + 8)
     scaled = lambda v, origin, size: F.coalesce(F.try_divide(F.col(v) - F.col(origin), F.col(size)), F.lit(0.0))
     knots = grid.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(alphas - 1)))).withColumn("alpha", F.col("a0") + F.col("a") * F.col("da"))
-    knots = knots.crossJoin(F.broadcast(axis.select(F.col("idx").alias("lp"), "x")))
+    knots = knots.crossJoin(axis.select(F.col("idx").alias("lp"), "x"))
     targets = knots.select(F.struct("s", "lp", "a").alias("t"), (scaled("alpha", "a0", "ra") + apart).alias("x"), scaled("x", "x0", "rx").alias("y"))
-    valid = seen.where("v is not null and not isnan(v)").join(F.broadcast(grid), "label")
+    valid = seen.where("v is not null and not isnan(v)").join(grid, "label")
     placed = valid.select((scaled("alpha", "a0", "ra") + apart).alias("sx"), scaled("x", "x0", "rx").alias("sy"), F.col("v").cast("double").alias("v"))
     return neighbours.shepard(targets, placed, cutoff).select("t.s", "t.lp", "t.a", "v")

@@ -409,7 +409,7 @@ def flux_to_total(spark, d):
     """Flux of each slit times its weights' sum and the super-resolution factor, 3."""
     slits = linear.slit_weights(spark, 7, 3.5, fx.rows_of(spark, d))
     total = slits.where("i = 0").groupBy("s").agg(F.sum("w").alias("tw"))
-    return linear.slice_forward(fx.cube(spark, d), slits, "q").groupBy("s", "l").agg(F.sum("v").alias("v")).join(F.broadcast(total), "s").select("s", "l", F.round(F.col("v") * F.col("tw") * 3, 6).alias("v"))
+    return linear.slice_forward(fx.cube(spark, d), slits, "q").groupBy("s", "l").agg(F.sum("v").alias("v")).join(total, "s").select("s", "l", F.round(F.col("v") * F.col("tw") * 3, 6).alias("v"))
 
 
 @register("distinct_labels", "SELECT count(DISTINCT label) AS n FROM embeddings")
@@ -649,7 +649,7 @@ def expsol(spark, d):
         kernel[di % g.rows, dj % g.columns] += w
     back = linear.circular_blur(c.select("l", "i", "j", "v"), share, g, transposed=True)
     right = linear.unmix_cube(back, fx.templates(c).withColumn("t", F.col("t") / 1000.0))
-    stacked = schema.planes(right.join(F.broadcast(number), "m").select("l", "i", "j", F.col("a").alias("v")))
+    stacked = schema.planes(right.join(number, "m").select("l", "i", "j", F.col("a").alias("v")))
     return schema.from_planes(dense.closed_form_maps(stacked, s, np.fft.rfft2(kernel), g, 0.1), g)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specweave.operators.linear import difference, laplacian
+from specweave.operators.linear import circular_terms, difference, laplacian, laplacian_stencil
 from specweave.runtime import discard, materialize, tidy
 from specweave.schema import GridSpec
 
@@ -106,10 +106,11 @@ def smoothness(maps: DataFrame, rows: int, columns: int, joint: bool = False) ->
     """The transposed difference of the difference, summed over both axes; with ``joint``, the Laplacian of the Laplacian.
 
     Both are the circular Laplacian's doing: separate differences give it
-    once, and it is its own adjoint.
+    once, and it is its own adjoint. The result is terms that add up by key.
     """
-    once = lambda x: laplacian(x.withColumnRenamed("m", "l"), GridSpec(rows, columns, 0)).withColumnRenamed("l", "m")
-    return once(once(maps)) if joint else once(maps)
+    grid, planes = GridSpec(rows, columns, 0), maps.withColumnRenamed("m", "l")
+    planes = laplacian(planes, grid) if joint else planes
+    return circular_terms(planes, laplacian_stencil(maps.sparkSession), grid).withColumnRenamed("l", "m")
 
 
 def quadratic_normal(forward: Callable, adjoint: Callable, keys: list[str], mu_data: float, mu_smooth: float | dict[int, float], rows: int, columns: int, joint: bool = False) -> Callable[[DataFrame], DataFrame]:
