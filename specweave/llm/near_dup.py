@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, threshold: Fraction = Fraction(4, 5), width
     side = lambda k: classes.select(F.col("doc").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("n_shingles").alias(f"n_{k}"))
     odd = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near_size = F.least("n_a", "n_b") * threshold.denominator >= F.greatest("n_a", "n_b") * threshold.numerator
-    checked = materialize(pairs.join(side("b"), "b").join(side("a"), "a").where(near_size & (odd <= most)).select("a", "b").distinct(), "pairs")
+    # No distinct here: the join on a group's smallest document could not be split then.
+    checked = materialize(pairs.join(side("b"), "b").join(side("a"), "a").where(near_size & (odd <= most)).select("a", "b"), "pairs")
     links = _confirm(checked, docs, threshold, width)
 
     # A document whose rows differ stands in several classes, which it links.
