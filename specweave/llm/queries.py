@@ -113,6 +113,45 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles,
        least(d.doc_id, coalesce(low, d.doc_id)) AS component_id,
        d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN component ON node = d.doc_id""",
+    # Windows start where the budget ends the one before; a turn counts once for each window that shows it.
+    "op10_chat_formatting": rf"""
+WITH RECURSIVE said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(0, 2) AS r(k)
+), turns AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM said
+), placed AS MATERIALIZED (
+    SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS upto,
+           length(role) + length(text) + len(regexp_extract_all(role || text, '\\|<s>|</s>|\[INST\]|\[/INST\]')) + {len("".join((chat.OPEN, chat.HEAD, chat.TAIL, chat.CLOSE)))} AS size
+    FROM turns
+), ends AS MATERIALIZED (
+    SELECT conv_id, max(k) AS last, max(CASE WHEN k = 1 AND role = 'system' THEN 1 ELSE 0 END) AS sys,
+           max(CASE WHEN k = 1 AND role = 'system' THEN n ELSE 0 END) AS sys_n FROM placed GROUP BY conv_id
+), windows AS (
+    SELECT conv_id, 0 AS w, CAST(1 AS BIGINT) AS first, CAST(1 AS BIGINT) AS past, CAST(0 AS HUGEINT) AS fixed FROM ends
+    UNION ALL
+    SELECT w.conv_id, w.w + 1, e.stop + 1, e.past, e.fixed FROM windows w, LATERAL (
+        SELECT z.stop, min(h.k) FILTER (h.k > z.sys AND z.upto - h.upto + h.n <= {chat.HISTORY} OR h.k > z.stop) AS past,
+               z.sys_n + z.upto - coalesce(max(h.upto) FILTER (h.k <= z.sys OR z.upto - h.upto + h.n > {chat.HISTORY} AND h.k <= z.stop), 0) AS fixed
+        FROM (SELECT any_value(ends.sys) AS sys, any_value(ends.sys_n) AS sys_n, any_value(ends.last) AS last, max(p.k) AS stop, max(p.upto) AS upto
+              FROM placed p JOIN ends ON ends.conv_id IS NOT DISTINCT FROM p.conv_id JOIN placed f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = w.first
+              WHERE p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.k >= w.first AND (p.k = w.first OR w.fixed + p.upto - f.upto + f.n <= {chat.BUDGET})) z,
+             placed h
+        WHERE h.conv_id IS NOT DISTINCT FROM w.conv_id AND z.stop < z.last
+        GROUP BY z.stop, z.sys, z.sys_n, z.upto) e
+), spans AS (
+    SELECT conv_id, w, first, past, coalesce(lead(first) OVER (PARTITION BY conv_id ORDER BY w), 1152921504606846976) AS next FROM windows
+), shown AS (
+    SELECT s.conv_id, sum(p.size) AS chars FROM spans s JOIN placed p ON p.conv_id IS NOT DISTINCT FROM s.conv_id
+    JOIN ends ON ends.conv_id IS NOT DISTINCT FROM s.conv_id
+    WHERE p.k >= s.past AND p.k < s.next OR s.w > 0 AND p.k = 1 AND ends.sys = 1 GROUP BY s.conv_id
+), digest AS (
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256 FROM placed GROUP BY conv_id
+)
+SELECT digest.*, CAST(chars AS BIGINT) AS formatted_chars FROM digest JOIN shown ON shown.conv_id IS NOT DISTINCT FROM digest.conv_id""",
     "op6_top_k": """
 WITH whole AS MATERIALIZED (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
