@@ -9,6 +9,7 @@ what survives is counted.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -171,6 +172,12 @@ def _applied(vocabulary: PieceVocabulary, symbols: np.ndarray, number: np.ndarra
 _PIECES = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
+@functools.cache
+def _vocabulary(model: str) -> PieceVocabulary:
+    """The vocabulary, read once in each worker."""
+    return PieceVocabulary(model)
+
+
 def count_batch(vocabulary: PieceVocabulary, texts: pa.Array) -> np.ndarray:
     """Tokens of each text, as the library counts them."""
     texts = words.strings(texts)
@@ -206,9 +213,8 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = None
         for batch in words.slices(batches, "text", 12 << 20):
-            vocabulary = vocabulary or PieceVocabulary(model)
+            vocabulary = _vocabulary(model)
             texts = batch.column("text")
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, pa.array(count_batch(vocabulary, texts))], names=["doc_id", "n_bytes", "n_tokens"])
