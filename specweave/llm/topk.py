@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from specweave.runtime import materialize, tidy
 
-#: Rows indexed and queries answered in one task.
-ROW_BLOCK, QUERY_BLOCK = 8192, 256
+#: Rows indexed in one task, queries answered there, and those answered at once.
+ROW_BLOCK, QUERY_BLOCK, AT_ONCE = 8192, 2048, 256
 #: Quantised impact: absolute value divided by this.
 STEP = 32
 #: Bytes of a score in the order of large ones: 2 ** 2239 is beyond any sum of products of doubles.
@@ -130,8 +130,11 @@ def _answer(k: int, with_large: bool):
         if len(rows) and len(queries):
             place = {u: i for i, u in enumerate(uid[rows].tolist())}
             own = np.array([place.get(u, -1) for u in uid[queries].tolist()])
-            best, _ = ImpactIndex(x[rows]).top(x[queries], own, ids[rows], k)
-            found = [(q, int(rows[r]), int(s)) for q, (members, scores) in zip(queries.tolist(), best, strict=True) for r, s in zip(members, scores, strict=True)]
+            index = ImpactIndex(x[rows])
+            for lo in range(0, len(queries), AT_ONCE):
+                some = slice(lo, lo + AT_ONCE)
+                best, _ = index.top(x[queries[some]], own[some], ids[rows], k)
+                found += [(q, int(rows[r]), int(s)) for q, (members, scores) in zip(queries[some].tolist(), best, strict=True) for r, s in zip(members, scores, strict=True)]
         if not plain.all():
             wide = {i: _large(table.column("large")[i].as_py()) for i in np.flatnonzero(~plain).tolist()}
             vector = lambda i: wide[i] if i in wide else x[i].astype(object)
