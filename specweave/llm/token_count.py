@@ -213,7 +213,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.slices(batches, "text", 12 << 20):
+        for batch in words.gathered(batches, "text", 13 << 20):
             vocabulary = _vocabulary(model)
             texts = batch.column("text")
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())

@@ -28,6 +28,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = SLIC
             yield batch.slice(lo, hi - lo)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined, or cut, to about ``max_bytes``, for work that shares more the more texts it sees at once."""
+    held, size = [], 0
+    for part in slices(batches, column, max_bytes):
+        if held and size + part.nbytes > max_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def strings(column: pa.Array) -> pa.Array:
     """The column with 64-bit offsets and nulls as empty texts.
 
