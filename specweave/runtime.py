@@ -60,6 +60,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """A function over Arrow batches that gives freed memory back to the system at its end; idle workers otherwise keep it."""
 
@@ -67,13 +73,27 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL(None).malloc_trim(0)
+            _trim()
 
     return tidied
 
 
+def tidy_group(run):
+    """The same for a function of one group, or of two; for groups that are large."""
+
+    def of_one(table):
+        out = run(table)
+        _trim()
+        return out
+
+    def of_two(left, right):
+        out = run(left, right)
+        _trim()
+        return out
+
+    return of_one if run.__code__.co_argcount == 1 else of_two
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once a session, for Python workers.
 
