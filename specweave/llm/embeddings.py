@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from specweave.operators.components import connected_components
 from specweave.runtime import materialize, tidy
 
-#: Rows that the cells are fitted on, mean vectors to a cell, most cells, and members compared in one task.
-FIT_ROWS, PER_CELL, MOST_CELLS, BLOCK = 20_000, 200, 2048, 2048
+#: Rows that the cells are fitted on, and at least for each cell; mean vectors to a cell, most cells, and members compared in one task.
+FIT_ROWS, FIT_PER_CELL, PER_CELL, MOST_CELLS, BLOCK = 20_000, 8, 200, 8192, 2048
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -34,21 +34,23 @@ def unit(x: np.ndarray) -> np.ndarray:
 def spherical_k_means(x: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
     """``k`` unit centres; a cell that runs empty starts anew at a far vector."""
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
+    own, nearest = np.zeros(len(x), np.int64), np.zeros(len(x))
     for _ in range(rounds):
-        near = x @ centres.T
-        own = near.argmax(1)
+        for lo in range(0, len(x), 1024):
+            near = x[lo : lo + 1024] @ centres.T
+            own[lo : lo + 1024], nearest[lo : lo + 1024] = near.argmax(1), near.max(1)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         size = np.linalg.norm(sums, axis=1)
         lost = np.flatnonzero(size < 1e-9)
-        sums[lost] = x[np.argsort(near.max(1))[: len(lost)]]
+        sums[lost] = x[np.argsort(nearest)[: len(lost)]]
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centres
 
 
 def shared_cells(cells: int) -> int:
     """Cells that a vector goes to: at 0.9, over 99 % of pairs then share one."""
-    return min(cells, 6 if cells <= 256 else 8 if cells <= 1024 else 10)
+    return min(cells, 6 if cells <= 256 else 8 if cells <= 1024 else 10 if cells <= 2048 else 12)
 
 
 def _compare(threshold: float):
@@ -98,13 +100,11 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, id_column: str = "vec_
     signed = rows.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(F.col(column), lambda x: x + F.lit(0).cast("float")).alias("embedding")).withColumn("sound", sound & F.col("vec_id").isNotNull())
     grouped = signed.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    sample = classes.select("cid", "embedding").orderBy(F.xxhash64("rep", "embedding"), "cid").limit(FIT_ROWS).select("embedding").toArrow().column("embedding").to_pylist()
-    total = classes.count()
-    k = max(1, min(total // PER_CELL, len(sample) // 8, MOST_CELLS))
-    by_length: dict[int, list] = {}
-    for e in sample:
-        by_length.setdefault(len(e), []).append(e)
-    centres = {d: spherical_k_means(unit(np.array(x, np.float64)), min(k, len(x))) for d, x in by_length.items()}
+    k = max(1, min(classes.count() // PER_CELL, MOST_CELLS))
+    sample = classes.select("cid", "embedding").orderBy(F.xxhash64("rep", "embedding"), "cid").limit(max(FIT_ROWS, FIT_PER_CELL * k)).select("embedding").toArrow().column("embedding").combine_chunks()
+    lengths = sample.value_lengths().to_numpy(zero_copy_only=False)
+    k = max(1, min(k, len(sample) // FIT_PER_CELL))
+    centres = {int(d): spherical_k_means(unit(matrix(sample.take(pa.array(np.flatnonzero(lengths == d))))), min(k, int((lengths == d).sum()))) for d in np.unique(lengths)}
 
     def assign(batches):
         for batch in batches:

@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specweave.llm import words
-from specweave.runtime import discard, materialize, tidy
+from specweave.runtime import discard, materialize, tidy, tidy_group
 
 #: Counts up to this are discounted by Good-Turing's ratio.
 LARGEST_DISCOUNTED = 5
 #: Tokens for each partition of the count tables, bytes of text to a batch, and parts that a batch is cut into at most.
-PARTITION_TOKENS, BATCH_BYTES, FAN_OUT = 1_000_000, 9 << 20, 512
+PARTITION_TOKENS, BATCH_BYTES, FAN_OUT = 1_000_000, 5 << 20, 512
 
 _BEGIN, _END = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -54,23 +54,10 @@ def _open(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of about ``BATCH_BYTES`` of text."""
-    held, size = [], 0
-    for part in words.slices(batches, "text", BATCH_BYTES):
-        if held and size + part.nbytes > BATCH_BYTES:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-        held.append(part)
-        size += part.nbytes
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to token ids, the most frequent words first, so that ids press well."""
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    for k, batch in enumerate(_gather(batches)):
+    for k, batch in enumerate(words.gathered(batches, "text", BATCH_BYTES)):
         ragged = words.Ragged(batch.column("text"))
         frequency = np.bincount(ragged.ids, minlength=len(ragged.words))
         order = np.argsort(-frequency, kind="stable")
@@ -254,15 +241,15 @@ def _counted(sent: DataFrame, fans: list[int], batches: int) -> DataFrame:
     merged as the next step cuts parts from each.
     """
     if len(fans) == 1:
-        return sent.groupBy("kind", "p").applyInArrow(_add_up, _COUNTED)
+        return sent.groupBy("kind", "p").applyInArrow(tidy_group(_add_up), _COUNTED)
     groups = max(1, -(-batches * fans[0] // fans[1]))
     grouped = sent.withColumn("group", F.pmod(F.xxhash64("batch"), F.lit(groups)).cast("long"))
-    merged = materialize(grouped.groupBy("kind", "p", "group").applyInArrow(_merge(groups, fans[1]), _MERGED), "merged")
+    merged = materialize(grouped.groupBy("kind", "p", "group").applyInArrow(tidy_group(_merge(groups, fans[1])), _MERGED), "merged")
     on = merged.where("place is null").select(F.col("merged").alias("batch"), "kind", "p", "keys", "counts")
     back = materialize(_counted(on, fans[1:], groups), "merged_counts")
     went = merged.where("place is not null").select("merged", "batch", "kind", "p", "place")
     each = went.groupBy("merged").cogroup(back.where("batch is not null").select(F.col("batch").alias("merged"), "p", "counts", "first").groupBy("merged"))
-    return each.applyInArrow(_unmerge, _COUNTED).unionByName(back.where("totals is not null"))
+    return each.applyInArrow(tidy_group(_unmerge), _COUNTED).unionByName(back.where("totals is not null"))
 
 
 def smoothed(n: list[int]) -> np.ndarray | None:
@@ -409,7 +396,7 @@ def katz_scores(docs: DataFrame, partition_tokens: int = PARTITION_TOKENS, fan_o
     ratio = discounts(sums.get(1, [0] * size)[: LARGEST_DISCOUNTED + 1])
 
     back = counted.where("totals is null").select("batch", "kind", "p", "counts", "first")
-    partial = packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_evaluate(fans[0], ratio, n_all, n_words), _PARTIAL)
+    partial = packed.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(tidy_group(_evaluate(fans[0], ratio, n_all, n_words)), _PARTIAL)
     partial = materialize(partial, "partial")
     discard(packed, counted)
     contexts = partial.where("context is not null")
