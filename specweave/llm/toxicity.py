@@ -36,11 +36,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Lexicon:
     """Hashed features of distinct words: a word bucket and character buckets (CSR)."""
 
-    def __init__(self, vocabulary: list[str]) -> None:
+    def __init__(self, vocabulary: list[str], chunk: int = 1 << 14) -> None:
+        parts = [self._chunk(vocabulary[lo : lo + chunk]) for lo in range(0, len(vocabulary), chunk)]
+        self.word = np.concatenate([np.zeros(0, np.int32), *(p[0] for p in parts)])
+        self.grams = np.concatenate([np.zeros(0, np.int32), *(p[1] for p in parts)])
+        self.starts = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(p[2] for p in parts)]))])
+
+    @staticmethod
+    def _chunk(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word buckets, character buckets and how many of these each word has."""
         cores = [w.strip("\"'.,;:!?()[]{}<>|*#$%&-_/\\…“”„«»¡¿") for w in vocabulary]
         digest = xxhash.xxh3_64_intdigest
         encoded = [f"^{c}$".encode() for c in cores]
-        self.word = np.fromiter((digest(b) % WORD_BUCKETS for b in encoded), np.int64, len(encoded))
+        word = np.fromiter((digest(b) % WORD_BUCKETS for b in encoded), np.int32, len(encoded))
         size = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.frombuffer(b"".join(encoded), np.uint8).astype(np.uint64) + np.uint64(1)
         owner = np.repeat(np.arange(len(encoded)), size)
@@ -54,11 +62,10 @@ class Lexicon:
                 h = h * np.uint64(0x100000001B3) + flat[k : len(flat) - n + 1 + k]
             inside = left[: len(h)] >= n
             owners.append(owner[: len(h)][inside])
-            grams.append((words.mix(h[inside]) % np.uint64(CHAR_BUCKETS)).astype(np.int64))
-        own = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+            grams.append((words.mix(h[inside]) % np.uint64(CHAR_BUCKETS)).astype(np.int32))
+        own = np.concatenate([np.zeros(0, np.int64), *owners])
         order = np.argsort(own, kind="stable")
-        self.grams = np.concatenate(grams)[order] if grams else own
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(encoded)))])
+        return word, np.concatenate([np.zeros(0, np.int32), *grams])[order], np.bincount(own, minlength=len(encoded))
 
     def of(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Character buckets, their word's place and each word's count, of some words."""
