@@ -59,6 +59,20 @@ def circular_terms(cube: DataFrame, psf: DataFrame, grid: GridSpec, value: str =
     return spread.select("l", at("i", "di", grid.rows), at("j", "dj", grid.columns), (F.col(value) * F.col("w")).alias("v"))
 
 
+def only_reached(blurred: DataFrame, pixels: DataFrame, kernels: list[DataFrame], grid: GridSpec) -> DataFrame:
+    """Blurred planes of the whole grid without the pixels that no value reaches.
+
+    ``pixels`` are the distinct (i, j) there were before blurs by ``kernels``,
+    one after the other. Nothing is joined where they reach the whole grid.
+    """
+    for psf in [None, *kernels]:
+        if psf is not None:
+            pixels = circular_terms(pixels.select(F.lit(0).alias("l"), "i", "j", F.lit(1).alias("v")), psf, grid).select("i", "j").distinct()
+        if pixels.count() == grid.rows * grid.columns:
+            return blurred
+    return blurred.join(pixels, ["i", "j"], "left_semi")
+
+
 def spectral_blur(slices: DataFrame, wpsf: DataFrame, value: str = "v", sum_columns: bool = False) -> DataFrame:
     """y(lp, i, j) = sum over l of x(l, i, j) w(lp, l, b = j), or summed over j."""
     weights = wpsf.withColumnRenamed("b", "j")

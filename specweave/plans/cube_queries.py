@@ -77,8 +77,8 @@ def fft_conv(spark, d):
     kernel = np.zeros((g.rows, g.columns))
     for di, dj, w in fx.psf(spark).collect():
         kernel[di % g.rows, dj % g.columns] += w
-    blurred = dense.fft_blur(schema.planes(fx.cube(spark, d), "q"), np.fft.rfft2(kernel), g)
-    return schema.from_planes(blurred, g).select("l", "i", "j", (F.round("v") + 0.0).alias("v"))
+    blurred = schema.from_planes(dense.fft_blur(schema.planes(fx.cube(spark, d), "q", g), np.fft.rfft2(kernel), g), g)
+    return linear.only_reached(blurred, fx.pixels(spark, d), [fx.psf(spark)], g).select("l", "i", "j", (F.round("v") + 0.0).alias("v"))
 
 
 @register("wblur", fx.sql("cube", "wpsf") + "SELECT lp, i, j, CAST(sum(q * w) AS BIGINT) AS v FROM cube JOIN wpsf ON wpsf.l = cube.l AND b = j GROUP BY lp, i, j")

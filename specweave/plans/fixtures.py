@@ -30,6 +30,11 @@ def rows_of(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] // COLUMNS + 1
 
 
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct (i, j) that are there; the grid's last row may end early."""
+    return table(spark, sf_dir, "embeddings").select(F.expr(f"vec_id div {COLUMNS}").cast("int").alias("i"), (F.col("vec_id") % COLUMNS).cast("int").alias("j")).distinct()
+
+
 def templates(c: DataFrame) -> DataFrame:
     """(m, l, t): the floor of the mean of q by label and wavelength."""
     return c.groupBy(F.col("label").alias("m"), "l").agg(F.floor(F.sum("q") / F.count("*")).cast("long").alias("t"))
