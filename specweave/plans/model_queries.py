@@ -230,9 +230,9 @@ def unmixed_blur(spark, d):
     kernel = np.zeros((g.rows, g.columns))
     for di, dj, w in fx.psf(spark).collect():
         kernel[di % g.rows, dj % g.columns] += w
-    maps = dense.fft_unmix(schema.planes(c, "q"), np.fft.rfft2(kernel), s, g)
+    maps = schema.from_planes(dense.fft_unmix(schema.planes(c, "q", g), np.fft.rfft2(kernel), s, g), g)
     number = spark.createDataFrame(list(enumerate(names)), "l int, m int")
-    return schema.from_planes(maps, g).join(number, "l").select(F.col("m").cast("int").alias("m"), "i", "j", F.round("v").cast("long").alias("a"))
+    return linear.only_reached(maps, fx.pixels(spark, d), [fx.psf(spark)], g).join(number, "l").select(F.col("m").cast("int").alias("m"), "i", "j", F.round("v").cast("long").alias("a"))
 
 
 @register("dirac_response", fx.sql("wpsf") + "SELECT lp, l, b, CASE WHEN w = max(w) OVER (PARTITION BY lp, b) THEN 1 ELSE 0 END AS w FROM wpsf")
