@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 CARD, BLOCK = 80, 2880
 #: The format's number types, and the last letter of a band's name.
 KINDS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
+#: The bits of the NaN that stands in a file for a voxel that its cube doesn't have; a voxel without a value is a plain NaN.
+ABSENT = 0x7FF8_6162_7365_6E74
 LENGTHS = {"a": "SHORT", "b": "MEDIUM", "c": "LONG"}
 
 
@@ -43,7 +45,9 @@ def parse_fits(data: bytes) -> list[tuple[dict[str, str], list[int], np.ndarray
         if shape and header.get("XTENSION", "IMAGE") == "IMAGE":
             kind = np.dtype(KINDS[int(header["BITPIX"])])
             n = int(np.prod(shape)) * kind.itemsize
-            image = np.frombuffer(data[at : at + n], kind).astype(float) * float(header.get("BSCALE", 1)) + float(header.get("BZERO", 0))
+            image = np.frombuffer(data[at : at + n], kind).astype(float)
+            scale, zero = float(header.get("BSCALE", 1)), float(header.get("BZERO", 0))
+            image = image if (scale, zero) == (1, 0) else image * scale + zero
             at += -(-n // BLOCK) * BLOCK
         elif shape:
             n = int(np.prod(shape)) * abs(int(header["BITPIX"])) // 8 + int(header.get("PCOUNT", 0))
@@ -80,19 +84,27 @@ def fits_bytes(units: list[tuple[dict[str, object], np.ndarray | dict[str, np.nd
     return out
 
 
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    """Arrays as lists: null for none, and null elements for absent voxels."""
+    flat = np.concatenate([np.zeros(0), *[a.ravel() for a in arrays if a is not None]])
+    ends = np.cumsum([0, *[0 if a is None else a.size for a in arrays]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, mask=flat.view(np.int64) == ABSENT), mask=pa.array([a is None for a in arrays]))
+
+
 def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def fits_units(contents: DataFrame) -> DataFrame:
-    """One row a unit of files (path, content): path, unit, header, shape and values (null without an image)."""
+    """One row a unit of files (path, content): path, unit, header, shape and values (null without an image; absent voxels are null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("path", pa.string()), ("unit", pa.int32()), ("header", pa.map_(pa.string(), pa.string())), ("shape", pa.list_(pa.int32())), ("data", pa.list_(pa.float64()))])
+        kind = pa.schema([("path", pa.string()), ("unit", pa.int32()), ("header", pa.map_(pa.string(), pa.string())), ("shape", pa.list_(pa.int32()))])
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [{"path": name, "unit": k, "header": list(h.items()), "shape": s, "data": None if d is None else d.ravel()} for k, (h, s, d) in enumerate(parse_fits(content))]
-                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                units = parse_fits(content)
+                rows = [{"path": name, "unit": k, "header": list(h.items()), "shape": s} for k, (h, s, _) in enumerate(units)]
+                yield pa.RecordBatch.from_arrays([*pa.RecordBatch.from_pylist(rows, schema=kind).columns, _lists([d for *_, d in units])], names=[*kind.names, "data"])
 
     return contents.mapInArrow(run, "path string, unit int, header map<string,string>, shape array<int>, data array<double>")
 
@@ -102,12 +114,12 @@ def read_fits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def npy_arrays(contents: DataFrame) -> DataFrame:
-    """The array of each NPY file (path, content): path, shape and values."""
+    """The array of each NPY file (path, content): path, shape and values; absent voxels are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = [np.load(io.BytesIO(c), allow_pickle=False) for c in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([list(a.shape) for a in arrays], pa.list_(pa.int32())), pa.array([a.astype(float).ravel() for a in arrays], pa.list_(pa.float64()))], names=["path", "shape", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([list(a.shape) for a in arrays], pa.list_(pa.int32())), _lists([a.astype(float) for a in arrays])], names=["path", "shape", "data"])
 
     return contents.mapInArrow(run, "path string, shape array<int>, data array<double>")
 
@@ -117,12 +129,19 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def packed_cubes(cubes: DataFrame, kind: str = "fits") -> DataFrame:
-    """Files (path, content) of cubes (path, l, i, j, v), each from l, i, j = 0 and whole: FITS with an empty first unit, or NPY."""
+    """Files (path, content) of cubes (path, l, i, j, v), each from l, i, j = 0: FITS with an empty first unit, or NPY.
+
+    Voxels that a cube doesn't have are marked as ``ABSENT``; two values of
+    one voxel raise.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("l", "i", "j")])
-        shape = [table.column(c)[-1].as_py() + 1 for c in ("l", "i", "j")]
-        array = table.column("v").to_numpy().astype(float).reshape(shape)
+        at = [table.column(c).to_numpy() for c in ("l", "i", "j")]
+        shape = [int(k.max()) + 1 for k in at]
+        array, there = np.full(shape, ABSENT, np.int64).view(float), np.zeros(shape, bool)
+        array[*at], there[*at] = table.column("v").to_numpy(), True
+        if there.sum() < table.num_rows:
+            raise ValueError(f"two values of one voxel in {table.column('path')[0]}")
         content = fits_bytes([({}, None), ({"CRPIX3": 1.0}, array)]) if kind == "fits" else npy_bytes(array)
         return pa.table({"path": table.column("path").slice(0, 1), "content": pa.array([content], pa.binary())})
 
@@ -162,9 +181,9 @@ def load_targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unfolded(arrays: DataFrame) -> DataFrame:
-    """Values of a three-dimensional array as (path, l, i, j, v); NaN as null."""
+    """Values of a three-dimensional array as (path, l, i, j, v), without absent voxels; NaN as null."""
     n1, n2 = F.col("shape")[1], F.col("shape")[2]
-    flat = arrays.select("path", n1.alias("n1"), n2.alias("n2"), F.posexplode("data").alias("k", "x"))
+    flat = arrays.select("path", n1.alias("n1"), n2.alias("n2"), F.posexplode("data").alias("k", "x")).where("x is not null")
     return flat.select("path", F.expr("k div (n1 * n2)").cast("int").alias("l"), F.expr("(k div n2) % n1").cast("int").alias("i"), (F.col("k") % F.col("n2")).cast("int").alias("j"), F.nanvl("x", F.lit(None).cast("double")).alias("v"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from specweave import schema
 from specweave.operators import spline
 from specweave.plans import cube_queries, instrument_queries, model_queries, registry  # noqa: F401  (they register their queries)
+from specweave.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def folder(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["fft_conv", "hessian_apply", "unmixed_blur"])
+@pytest.mark.parametrize("name", ["fft_conv", "hessian_apply", "unmixed_blur", "fits_cube"])
 def test_partial_grid_equals_sql(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
@@ -39,3 +40,14 @@ def test_rotation_takes_absent_pixels_as_0(spark, folder):
     want = {r.l: r.plane for r in spline.rotate_planes(whole, -20.0, schema.GridSpec(17, 25, 64)).collect()}
     got = registry.QUERIES["rotate_cubic"](spark, folder).collect()
     assert len(got) == 64 * 17 * 25 and all(abs(r.v - want[r.l][25 * r.i + r.j]) < 1e-12 for r in got)
+
+
+@pytest.mark.parametrize("kind", ["fits", "npy"])
+def test_files_tell_absent_voxels_from_those_without_a_value(spark, kind):
+    kept = [("a", 0, 0, 0, 1.5), ("a", 0, 0, 2, None), ("a", 1, 1, 1, -2.0), ("b", 0, 0, 0, 3.0)]
+    cubes = spark.createDataFrame(kept, "path string, l int, i int, j int, v double")
+    content = files.packed_cubes(cubes, kind)
+    read = files.fits_units(content).where("unit = 1") if kind == "fits" else files.npy_arrays(content)
+    assert sorted(map(tuple, files.unfolded(read).collect()), key=lambda r: r[:4]) == kept
+    with pytest.raises(Exception, match="two values of one voxel"):
+        files.packed_cubes(cubes.union(cubes), kind).collect()
