@@ -214,8 +214,9 @@ def transfer_blur(spark, d):
     g = _grid(spark, d)
     at = np.arange(7) - 3.0
     psf = np.exp(-(at[:, None] ** 2 + at**2) / 8)
-    blurred = dense.fft_blur(schema.planes(fx.cube(spark, d)), dense.transfer_function(psf / psf.sum(), (g.rows, g.columns)), g)
-    return schema.from_planes(blurred, g).select("l", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
+    blurred = schema.from_planes(dense.fft_blur(schema.planes(fx.cube(spark, d), grid=g), dense.transfer_function(psf / psf.sum(), (g.rows, g.columns)), g), g)
+    reach = spark.range(psf.size).select(F.expr("id div 7 - 3").cast("int").alias("di"), (F.col("id") % 7 - 3).cast("int").alias("dj"), F.lit(1).alias("w"))
+    return linear.only_reached(blurred, fx.pixels(spark, d), [reach], g).select("l", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @register("unmixed_blur", fx.sql("cube", "templates", "psf", "size") + ", b AS (SELECT l, CAST((i + di + n) % n AS INTEGER) AS i, CAST((j + dj + 25) % 25 AS INTEGER) AS j, sum(q * w) AS v FROM cube, psf, size GROUP BY ALL) SELECT m, i, j, CAST(sum(v * t) AS BIGINT) AS a FROM b JOIN templates USING (l) GROUP BY m, i, j")
