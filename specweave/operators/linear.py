@@ -158,17 +158,20 @@ def slit_weights(spark: SparkSession, n_slits: int, width: float, rows: int) ->
     return shares.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).select("s", "i", "j", "w")
 
 
-def difference(cube: DataFrame, axis: str, n: int, value: str = "v", transposed: bool = False) -> DataFrame:
+def difference(cube: DataFrame, axis: str, n: int, value: str = "v", transposed: bool = False, pairs: bool = False) -> DataFrame:
     """Circular first difference x[k-1] - x[k] along an axis; transposed, y[k+1] - y[k].
 
     Each value goes to its own place and to its neighbour's with opposite
     signs, and a sum by place meets them: one shuffle, and no self-join.
+    An absent value counts as 0, or with ``pairs`` has no difference.
     """
     shift = -1 if transposed else 1
     moved = F.pmod(F.col(axis) + shift, F.lit(n)).cast("int")
     both = F.array(F.struct(F.col(axis).alias("k"), (-F.col(value)).alias("v")), F.struct(moved.alias("k"), F.col(value).alias("v")))
     keys = [c for c in ("m", "l", "i", "j") if c in cube.columns and c != axis]
     spread = cube.select(*keys, F.explode(both).alias("e")).select(*keys, F.col("e.k").alias(axis), "e.v")
+    if pairs:
+        return spread.groupBy(*keys, axis).agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("_n")).where("_n = 2").drop("_n")
     return spread.groupBy(*keys, axis).agg(F.sum("v").alias("v"))
 
 

@@ -631,7 +631,8 @@ def cg_recover(spark, d):
     gram = materialize(linear.template_gram(t), "gram")
     keys = ["m", "i", "j"]
     right = materialize(linear.unmix_cube(c, t).withColumnRenamed("a", "v"), "right")
-    normal = solvers.quadratic_normal(lambda x: linear.mix_and_unmix(x, gram), lambda y: y, keys, 1.0, 0.1, g.rows, g.columns)
+    whole = fx.pixels(spark, d).count() == g.rows * g.columns
+    normal = solvers.quadratic_normal(lambda x: linear.mix_and_unmix(x, gram), lambda y: y, keys, 1.0, 0.1, g.rows, g.columns, whole=whole)
     return solvers.conjugate_gradient(normal, right, keys, 10).withColumn("v", F.round("v", 5) + 0.0)
 
 
