@@ -69,15 +69,16 @@ def with_instrument(files: DataFrame, name: str = "name") -> DataFrame:
     return files.withColumn("chan", band_of(F.col(name))).join(F.broadcast(instruments(files.sparkSession)), "chan")
 
 
-def copied_targets(raw: DataFrame, corrected: DataFrame) -> DataFrame:
+def copied_targets(raw: DataFrame, corrected: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Corrected files (name, ...) with the target (alpha, beta) of the raw file of their band and dither.
 
     Of several raw files of one band and dither the last name counts; a
-    corrected file without a raw one keeps null.
+    corrected file without a raw one keeps null. Where names repeat, the
+    columns ``within`` of both say which files belong together.
     """
     keyed = lambda df: df.withColumns({"chan": band_of(F.col("name")), "dither": dither_of(F.col("name"))})
-    targets = keyed(raw).groupBy("chan", "dither").agg(F.max_by(F.struct("alpha", "beta"), "name").alias("_target"))
-    found = keyed(corrected.drop("alpha", "beta")).join(targets, ["chan", "dither"], "left")
+    targets = keyed(raw).groupBy(*within, "chan", "dither").agg(F.max_by(F.struct("alpha", "beta"), "name").alias("_target"))
+    found = keyed(corrected.drop("alpha", "beta")).join(targets, [*within, "chan", "dither"], "left")
     return found.select(*[c for c in found.columns if c != "_target"], F.col("_target.alpha").alias("alpha"), F.col("_target.beta").alias("beta"))
 
 
