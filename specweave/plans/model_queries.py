@@ -433,22 +433,33 @@ def instrument_response(spark, d):
 
 # Files as tables --------------------------------------------------------------------------
 
+#: Planes and rows of the grid in one file, so that files stay small however large the cube is.
+_DEPTH, _ROWS = 16, 256
+
+
 def _cubes(spark, d):
-    """The cube as four files of sixteen planes."""
-    return fx.cube(spark, d).select(F.concat(F.lit("cube_"), F.floor(F.col("l") / 16).cast("string")).alias("path"), (F.col("l") % 16).alias("l"), "i", "j", "v")
+    """The cube as files of sixteen planes and 256 rows, named by both."""
+    l, i = F.col("l"), F.col("i")
+    path = F.concat_ws("_", F.lit("cube"), F.floor(l / _DEPTH), F.floor(i / _ROWS))
+    return fx.cube(spark, d).select(path.alias("path"), (l % _DEPTH).alias("l"), (i % _ROWS).alias("i"), "j", "v")
+
+
+def _joined(voxels):
+    """Voxels of such files at their places in the whole cube."""
+    at = F.split("path", "_")
+    return voxels.select((at[1].cast("int") * _DEPTH + F.col("l")).alias("l"), (at[2].cast("int") * _ROWS + F.col("i")).alias("i"), "j", "v")
 
 
 @register("fits_cube", fx.sql("cube") + "SELECT l, i, j, v FROM cube")
 def fits_cube(spark, d):
     """The cube written as FITS files and read again."""
     units = files.fits_units(files.packed_cubes(_cubes(spark, d))).where("unit = 1")
-    return files.unfolded(units).select((F.substring_index("path", "_", -1).cast("int") * 16 + F.col("l")).alias("l"), "i", "j", "v")
+    return _joined(files.unfolded(units))
 
 
 @register("npy_cube", fx.sql("cube") + "SELECT l, i, j, v FROM cube")
 def npy_cube(spark, d):
-    arrays = files.npy_arrays(files.packed_cubes(_cubes(spark, d), "npy"))
-    return files.unfolded(arrays).select((F.substring_index("path", "_", -1).cast("int") * 16 + F.col("l")).alias("l"), "i", "j", "v")
+    return _joined(files.unfolded(files.npy_arrays(files.packed_cubes(_cubes(spark, d), "npy"))))
 
 
 @register("fits_targets", "SELECT 'f' || c_custkey AS path, CAST(c_custkey AS DOUBLE) / 16 AS alpha, 0 - CAST(c_custkey AS DOUBLE) / 32 AS beta, CAST(c_custkey AS DOUBLE) / 8 AS corrected_alpha, 0 - CAST(c_custkey AS DOUBLE) / 64 AS corrected_beta FROM customer")
